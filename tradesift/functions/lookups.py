@@ -301,7 +301,11 @@ def country_codes(spark: SparkSession) -> DataFrame:
     return country_aliases(spark).select("code", "country_name").distinct()
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(index: dict[str, str], key: Column) -> Column:
     """Value of a small fixed table, or null."""
-    pairs = [F.lit(text) for item in index.items() for text in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    entries = ", ".join(_sql_text(text) for item in index.items() for text in item)
+    return F.try_element_at(F.expr(f"map({entries})"), key)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradesift.functions import text as X
+from tradesift.operators.ordered import exploded
 from tradesift.plans.profiles import CompiledFilter, Country, Keyword, compile_filter
 
 WORD_LINES = {
@@ -412,9 +413,9 @@ def evaluate_profiles(leads: DataFrame, profiles: dict[str, dict], keep: list[st
                 columns["failed_groups"].alias("failed_groups"),
             )
         )
-    exploded = leads.select(*keep, F.explode(F.array(*verdicts)).alias("verdict"))
+    pairs = exploded(leads, F.array(*verdicts), "verdict", tuple(keep))
     status = F.when(F.col("verdict.passed"), "MATCHED").otherwise("REJECTED").alias("status")
-    return exploded.select(*keep, "verdict.*", status)
+    return pairs.select(*keep, "verdict.*", status)
 
 
 def explain_evaluation(limit: int = 4) -> Column:

@@ -117,6 +117,28 @@ def with_country_by_code(rows: DataFrame, code: str) -> DataFrame:
     return rows.join(known, F.upper(X.collapse_spaces(F.col(code))) == known["country_code"], "left")
 
 
+def with_compiled_countries(terms: DataFrame, label: str) -> DataFrame:
+    """Adds ``term_code`` and ``term_key`` of configured countries: alias first, else ISO code."""
+    terms = with_country(terms, label)
+    by_code = F.broadcast(
+        country_aliases(terms.sparkSession).select(
+            F.col("code").alias("_iso"), F.col("country_name_key").alias("_iso_key")
+        ).distinct()
+    )
+    two_letters = F.col(label).rlike("(?i)^[a-z]{2}$") & F.col("country_code").isNull()
+    typed = F.when(two_letters, F.upper(F.col(label)))
+    terms = terms.withColumn("_typed", typed)
+    terms = terms.join(by_code, terms["_typed"] == by_code["_iso"], "left")
+    return drop_prepared(
+        terms.withColumns(
+            {
+                "term_code": F.coalesce("country_code", "_iso"),
+                "term_key": F.coalesce("_iso_key", "country_key"),
+            }
+        ).drop("_typed", "_iso", "_iso_key")
+    )
+
+
 def with_measure(leads: DataFrame, field: str, raw: str, prefix: str) -> DataFrame:
     """Adds ``{prefix}_value``, ``_unit``, ``_normalized_unit`` and ``_warning``."""
     leads = prepare_texts(leads, [raw], [raw])
@@ -331,6 +353,9 @@ COMPOSED_TEXTS = [
 PLAIN_TEXTS = ["country", "quantity_raw", "quantity_per_strip_raw", "dosage_form"]
 
 
+ALL_COMPOSED = [*COMPOSED_TEXTS, "dosage_form"]
+
+
 def normalize_leads(leads: DataFrame) -> DataFrame:
     """All normalized columns next to the raw ones, with the warnings in fixed order."""
     leads = prepare_texts(with_optional_columns(leads), COMPOSED_TEXTS, PLAIN_TEXTS)

@@ -11,6 +11,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+def filter_computed(rows: DataFrame, condition: Column) -> DataFrame:
+    """Filter on a value that is expensive to compute.
+
+    Spark would push the condition below every projection and compute the value there once more
+    for each time it is read; a column that must not be moved keeps the filter where it is.
+    """
+    marked = rows.withColumn("_kept", F.monotonically_increasing_id())
+    return marked.filter(condition & (F.col("_kept") >= 0)).drop("_kept")
+
+
+def exploded(rows: DataFrame, items: Column, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per item. The outer form adds no filter on the array, which would compute it twice."""
+    all_items = rows.select(*keep, F.explode_outer(items).alias(name))
+    return all_items.filter(F.col(name).isNotNull())
+
+
 def with_previous(
     rows: DataFrame,
     keys: list[str],
@@ -49,6 +65,22 @@ def with_previous(
     )
 
 
+def with_number(
+    rows: DataFrame, keys: list[str], order: list[str], name: str, chunk: Column | None = None
+) -> DataFrame:
+    """Adds a number from 1 per key. Each chunk counts on its own, from the total of the ones before."""
+    chunk = F.date_trunc("day", F.col(order[0])) if chunk is None else chunk
+    rows = rows.withColumn("_chunk", chunk)
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    starts = counts.select(
+        *keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    numbered = rows.withColumn("_n", F.row_number().over(within)).join(starts, [*keys, "_chunk"])
+    return numbered.withColumn(name, F.col("_start") + F.col("_n")).drop("_chunk", "_n", "_start")
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of every key, reduced before the shuffle."""
     row = F.struct(*[F.col(name) for name in rows.columns])
@@ -82,7 +114,7 @@ def ordered_fold(
     """
     output = _parse_datatype_string(schema)
     assert isinstance(output, StructType)
-    arrow_schema = to_arrow_schema(output, timezone="UTC")
+    arrow_schema = to_arrow_schema(output)
     names = output.fieldNames()
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

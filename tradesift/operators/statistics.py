@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradesift.operators.ordered import newest_of_key
+from tradesift.operators.ordered import exploded, newest_of_key
 from tradesift.operators.scoring import PRIORITIES
 
 SAMPLE_SIZE = 200
@@ -19,18 +19,19 @@ def verdict_counts(evaluations: DataFrame) -> DataFrame:
 
 
 def _histogram(rows: DataFrame, items: Column, name: str) -> DataFrame:
-    return rows.select(F.explode(items).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+    return exploded(rows, items, name).groupBy(name).agg(F.count("*").alias("n"))
 
 
 def match_reasons(evaluations: DataFrame) -> DataFrame:
     """Pass reasons by type over matched leads; every reason counts."""
     passes = F.filter("reasons", lambda reason: reason.outcome == "pass")
     types = F.transform(passes, lambda reason: reason.type)
-    return _histogram(evaluations.filter("passed"), types, "reason")
+    return _histogram(evaluations, F.when(F.col("passed"), types), "reason")
 
 
 def rejection_reasons(evaluations: DataFrame) -> DataFrame:
-    return _histogram(evaluations.filter(~F.col("passed")), F.col("failed_groups"), "failed_group")
+    failed = F.when(~F.col("passed"), F.col("failed_groups"))
+    return _histogram(evaluations, failed, "failed_group")
 
 
 def priority_counts(evaluations: DataFrame) -> DataFrame:
@@ -74,8 +75,8 @@ def extraction_histograms(extractions: DataFrame) -> DataFrame:
             ("failed", "failed_fields"), ("missing", "missing_fields"), ("note", "notes")
         )
     ]
-    items = extractions.select(F.inline(F.concat(*tagged)))
-    return items.groupBy("kind", "name").agg(F.count("*").alias("n"))
+    items = exploded(extractions, F.concat(*tagged), "item")
+    return items.groupBy("item.kind", "item.name").agg(F.count("*").alias("n"))
 
 
 def _hundredths(value: Column) -> Column:
