@@ -6,6 +6,7 @@ plain columns so that no regular expression runs twice.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -393,6 +394,16 @@ def evaluate_filter(leads: DataFrame, profile: dict) -> DataFrame:
     return _without_helpers(evaluated.withColumn("status", status), hits)
 
 
+GROUP_METHODS = {
+    "countries": "countries",
+    "keywords": "keywords",
+    "quantity": "quantity",
+    "contact": "contact",
+    "leadAge": "lead_age",
+    "negativeKeywords": "negatives",
+}
+
+
 def evaluate_profiles(leads: DataFrame, profiles: dict[str, dict], keep: list[str]) -> DataFrame:
     """One row per lead and profile, from one pass over the leads.
 
@@ -401,16 +412,44 @@ def evaluate_profiles(leads: DataFrame, profiles: dict[str, dict], keep: list[st
     """
     compiled = {name: compile_filter(profile) for name, profile in profiles.items()}
     leads, hits = add_keyword_hits(leads, list(compiled.values()))
+    # one set of columns per distinct group, however many profiles share it
+    shared: dict[str, dict[str, Column]] = {}
+    names: dict[str, str] = {}
+    for one in compiled.values():
+        for group, method in GROUP_METHODS.items():
+            text = json.dumps([group, one.profile[group]], sort_keys=True)
+            if one.profile["enabled"] and one.profile[group]["enabled"] and text not in names:
+                names[text] = f"_group_{len(names)}"
+                passed, _, *found = getattr(FilterColumns(one, hits), method)()
+                shared[names[text]] = {"passed": passed, "found": found[0] if found else None}
+    columns = {}
+    for name, part in shared.items():
+        columns |= {f"{name}_{key}": value for key, value in part.items() if value is not None}
+    leads = leads.withColumns(columns)
     verdicts = []
     for name, one in compiled.items():
-        columns = FilterColumns(one, hits).evaluation()
+        profile = one.profile
+        parts = {}
+        for group in GROUP_METHODS:
+            column = names.get(json.dumps([group, profile[group]], sort_keys=True))
+            if column and profile["enabled"] and shared[column]["passed"] is not None:
+                parts[group] = column
+        ok = {group: F.col(f"{column}_passed") for group, column in parts.items()}
+        positives = [passed for group, passed in ok.items() if group != "negativeKeywords"]
+        combine = _every if profile["logic"]["mode"] == "AND" else _any
+        passed = combine(positives) if positives else F.lit(True)
+        passed = passed & ok.get("negativeKeywords", F.lit(True))
+        found = lambda group: (
+            F.col(f"{parts[group]}_found") if group in parts else _text_list([])
+        )
+        failed = [F.when(~passes, F.lit(group)) for group, passes in ok.items()]
         verdicts.append(
             F.struct(
                 F.lit(name).alias("profile_id"),
-                columns["passed"].alias("passed"),
-                columns["matched_keywords"].alias("matched_keywords"),
-                columns["negative_keywords"].alias("negative_keywords"),
-                columns["failed_groups"].alias("failed_groups"),
+                passed.alias("passed"),
+                found("keywords").alias("matched_keywords"),
+                found("negativeKeywords").alias("negative_keywords"),
+                (F.array_compact(F.array(*failed)) if failed else _text_list([])).alias("failed_groups"),
             )
         )
     pairs = exploded(leads, F.array(*verdicts), "verdict", tuple(keep))
