@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tradesift.functions.hashing import hmac_sha256
 from tradesift.functions.text import collapse_spaces
 from tradesift.operators.ordered import latest_per_key, newest_of_key
-from tradesift.plans.profiles import _is_absent, _is_type, _number, _text
+from tradesift.plans.profiles import _is_absent, _is_type, _number, _text, parse_document
 
 # Statuses, messages, limits and patterns of the licence side.
 STATUS_MESSAGES = {
@@ -351,7 +351,7 @@ def valid_server_answer(document: Column, root: str = "$") -> Column:
 
 def read_push_messages(messages: DataFrame, text: str = "message") -> DataFrame:
     """Adds kind (null when refused), status and reason of push messages."""
-    rows = messages.withColumn("_document", F.try_parse_json(text))
+    rows = messages.withColumn("_document", parse_document(F.col(text)))
     document = F.col("_document")
     kind = _text(document, "$.type")
     good = kind.isin("AUTH_OK", "AUTH_FAILED", "PONG") | (

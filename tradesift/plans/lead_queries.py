@@ -407,7 +407,7 @@ def c10_states(spark, folder):
 
 def c11_score_reasons(spark, folder):
     lines = F.transform(
-        "score_reasons", lambda r: F.concat(r.type, F.lit("="), (r.points * 100).cast("int"))
+        "score_reasons", lambda r: F.concat(r.type, F.lit("="), F.round(r.points * 100).cast("int"))
     )
     return scored(spark, folder).select("row_id", F.array_join(lines, ",").alias("parts"))
 

@@ -309,9 +309,19 @@ VALIDATORS = {
 }
 
 
+def parse_document(text: Column) -> Column:
+    """JSON text as a variant; null unless the whole text is exactly one value.
+
+    The parser stops after the first value, so the text is read as the only item of a list.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    items = F.try_variant_get(listed, "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+
+
 def with_validity(profiles: DataFrame, kind: str, text: str = "profile") -> DataFrame:
     """Adds ``valid``; unreadable JSON is invalid."""
-    parsed = profiles.withColumn("_document", F.try_parse_json(text))
+    parsed = profiles.withColumn("_document", parse_document(F.col(text)))
     return parsed.withColumn("valid", VALIDATORS[kind](F.col("_document"))).drop("_document")
 
 
