@@ -376,7 +376,7 @@ SQL |= {
     "v3_match_events": select(
         VERDICTS,
         f"""SELECT lead_id, row_id, raw_title AS title, CASE WHEN n = 1 THEN 'detected' ELSE 'updated' END AS trigger,
-        detected_at AS at, 66 AS id_length FROM (SELECT *, row_number() OVER ({_SEEN}) AS n FROM known) WHERE passed""",
+        detected_at AS "at", 66 AS id_length FROM (SELECT *, row_number() OVER ({_SEEN}) AS n FROM known) WHERE passed""",
     ),
     "v4_new_filter": select(
         BOTH,
@@ -406,7 +406,7 @@ SQL |= {
 
 # --- statistics and logs ---
 
-_OUTCOMES = """outcomes AS (SELECT user_id AS scan_id, ts AS at, CASE event_type WHEN 'signup' THEN 'new'
+_OUTCOMES = """outcomes AS (SELECT user_id AS scan_id, ts AS moment, CASE event_type WHEN 'signup' THEN 'new'
   WHEN 'click' THEN 'updated' WHEN 'view' THEN 'duplicate' WHEN 'purchase' THEN 'unchanged' ELSE 'failed' END AS outcome
   FROM events)"""
 _PASSES = {
@@ -521,7 +521,7 @@ SQL |= {
     "g13_scan_summary": select(
         _OUTCOMES,
         """SELECT scan_id, count(*) FILTER (outcome = 'new') AS new_leads,
-        epoch_ms(max(at)) - epoch_ms(min(at)) AS duration_ms FROM outcomes GROUP BY scan_id""",
+        epoch_us(max(moment)) // 1000 - epoch_us(min(moment)) // 1000 AS duration_ms FROM outcomes GROUP BY scan_id""",
     ),
     "l3_truncate": select(
         RAW,

@@ -21,7 +21,7 @@ bindings AS (
     CASE l_linestatus WHEN 'O' THEN 'ACTIVE' ELSE 'RELEASED' END AS status, l_shipdate AS last_seen_at
   FROM lineitem),
 audit AS (
-  SELECT event_id AS id, ts AS at, user_id AS customer_id,
+  SELECT event_id AS id, ts AS moment, user_id AS customer_id,
     CASE event_type WHEN 'signup' THEN 'LICENSE_CREATED' WHEN 'purchase' THEN 'LICENSE_EXTENDED'
       WHEN 'error' THEN 'ACTIVATION_REFUSED' WHEN 'click' THEN 'LICENSE_ACTIVATED' ELSE 'ADMIN_LOGIN' END AS action,
     CASE event_type WHEN 'error' THEN 'FAILURE' ELSE 'SUCCESS' END AS result
@@ -46,37 +46,39 @@ _INNER = bytes(b ^ 0x36 for b in _KEY).hex()
 _OUTER = bytes(b ^ 0x5C for b in _KEY).hex()
 _CODE = r"regexp_replace(upper(trim(code)), '\s+', '', 'g')"
 _MATCHES = """matches AS (SELECT 'm-' || CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS match_event_id,
-  event_id AS row_id, user_id, ts AS at FROM events WHERE event_type NOT IN ('signup', 'error')),
+  event_id AS row_id, user_id, ts AS moment FROM events WHERE event_type NOT IN ('signup', 'error')),
 switches AS (SELECT user_id, ts AS changed_at, max(CASE WHEN event_type = 'signup' THEN 'ON'
   WHEN event_id % 2 = 0 THEN 'LOCKED' ELSE 'OFF' END) AS state FROM events WHERE event_type IN ('signup', 'error') GROUP BY ALL),
 states AS (SELECT m.row_id, coalesce(s.state, 'ON') AS state FROM matches m ASOF LEFT JOIN switches s
-  ON m.user_id = s.user_id AND m.at >= s.changed_at)"""
+  ON m.user_id = s.user_id AND m.moment >= s.changed_at)"""
 _ATTEMPTS = """attempts AS (SELECT l_orderkey AS action_id, l_linenumber AS attempt,
   [NULL, 'STALE_LEAD', 'STALE_LEAD', 'ACTION_NOT_FOUND', 'CLICK_FAILED'][1 + max(l_partkey) % 5] AS code,
-  min(l_shipdate) AS at FROM lineitem GROUP BY ALL),
+  min(l_shipdate) AS moment FROM lineitem GROUP BY ALL),
 judged AS (SELECT *, CASE WHEN code IS NULL THEN 'SUCCESS'
   WHEN code IN ('STALE_LEAD', 'ACTION_NOT_FOUND') AND attempt <= 2 THEN 'RETRYING' ELSE 'FAILED' END AS status FROM attempts),
 actions AS (SELECT action_id, arg_max(status, attempt) AS status, max(attempt) AS attempts,
   (SELECT j.code FROM judged j WHERE j.action_id = g.action_id ORDER BY attempt DESC LIMIT 1) AS error_code,
   coalesce(min(attempt) FILTER (status <> 'RETRYING') < max(attempt), FALSE) AS illegal,
-  min(at) AS started_at, max(at) AS completed_at FROM judged g GROUP BY action_id)"""
-_CARD_TEXT = """SELECT row_id AS page_id, {n} AS card_no, {title} AS raw_title, {country} AS country, raw_lead_age,
-  CASE WHEN category IS NOT NULL AND product_category IS NOT NULL THEN category ELSE coalesce(category, product_category) END AS category,
-  CASE WHEN category IS NOT NULL AND product_category IS NOT NULL THEN product_category END AS product_category,
-  quantity_raw, strength_raw, dosage_form, buys_raw, mobile_available, whatsapp_available, email_available,
-  {age_sure}::DOUBLE AS "sure_leadAge", {buys_sure}::DOUBLE AS sure_buys FROM complete"""
+  min(moment) AS started_at, max(moment) AS completed_at FROM judged g GROUP BY action_id)"""
 _SIGNALS = """0.25 * (raw_title IS NOT NULL)::INT + 0.2 * (country IS NOT NULL)::INT + 0.15 * (quantity_raw IS NOT NULL)::INT
   + 0.15 * (buys_raw IS NOT NULL)::INT + 0.1 * ({category})::INT + 0.05 * ({contact})::INT"""
-_CARD_WEIGHT = _SIGNALS.format(
-    category="coalesce(category, product_category) IS NOT NULL",
-    contact="mobile_available OR whatsapp_available OR email_available",
-)
+# an age that does not read like a relative time is taken for the country when it stands first there
+_RELATIVE = "coalesce(raw_lead_age NOT IN ('an hour ago', '12 Sep'), TRUE)"
 
 
-def card(number: str, age_sure: str, buys_sure: str) -> str:
-    return _CARD_TEXT.format(
-        n=number, title=shown("raw_title"), country=shown("country"), age_sure=age_sure, buys_sure=buys_sure
-    )
+def card(number: str, country: str, age_sure: str, buys_sure: str) -> str:
+    weight = f"""0.25 * (raw_title IS NOT NULL)::INT + 0.2 * ({country} IS NOT NULL)::INT
+      + 0.15 * (quantity_raw IS NOT NULL)::INT + 0.15 * (buys_raw IS NOT NULL)::INT
+      + 0.1 * (coalesce(category, product_category) IS NOT NULL)::INT
+      + 0.05 * (mobile_available OR whatsapp_available OR email_available)::INT"""
+    both = "category IS NOT NULL AND product_category IS NOT NULL"
+    return f"""SELECT row_id AS page_id, {number} AS card_no, {shown("raw_title")} AS raw_title, {shown(country)} AS country,
+      CASE WHEN {_RELATIVE} THEN raw_lead_age END AS raw_lead_age,
+      CASE WHEN {both} AND category <> product_category THEN category ELSE coalesce(category, product_category) END AS category,
+      CASE WHEN {both} AND category <> product_category THEN product_category END AS product_category,
+      quantity_raw, strength_raw, dosage_form, buys_raw, mobile_available, whatsapp_available, email_available,
+      CASE WHEN raw_lead_age IS NULL OR NOT {_RELATIVE} THEN 0.0 ELSE {age_sure} END::DOUBLE AS "sure_leadAge",
+      {buys_sure}::DOUBLE AS sure_buys FROM leads_raw WHERE {weight} >= 0.5"""
 
 
 SQL = {
@@ -111,7 +113,7 @@ SQL = {
     ),
     "b7_recent_audit": licence(
         """SELECT customer_id, id, action FROM audit
-        QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY at DESC, id DESC) <= 50"""
+        QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY moment DESC, id DESC) <= 50"""
     ),
     "b8_statistics": licence(
         "SELECT count(*) AS total, "
@@ -134,7 +136,7 @@ SQL = {
     "b11_paging": licence(
         """SELECT id, action, total, page, 30 AS page_size FROM (SELECT *, count(*) OVER () AS total,
         CAST(greatest(1, ceil(count(*) OVER () / 30.0)) AS INT) AS page,
-        row_number() OVER (ORDER BY at DESC, id DESC) AS n FROM audit) WHERE n > (page - 1) * 30"""
+        row_number() OVER (ORDER BY moment DESC, id DESC) AS n FROM audit) WHERE n > (page - 1) * 30"""
     ),
     "b12_customer_validation": """SELECT c_custkey, name, email, company, phone, CASE WHEN name = '' THEN 'Customer name is required.'
         WHEN email NOT LIKE '%@%' THEN 'A valid email is required.'
@@ -199,11 +201,10 @@ SQL = {
         UNION ALL SELECT row_id, TRUE, TRUE FROM leads_raw""",
     ),
     "x1_extract_cards": select(
-        LEADS_RAW + f", complete AS (SELECT *, {_CARD_WEIGHT} AS w FROM leads_raw WHERE w >= 0.5)",
-        card("0", "CASE WHEN raw_lead_age IS NULL OR raw_lead_age IN ('an hour ago', '12 Sep', 'just now x') THEN 0.0 ELSE 1.0 END", "1.0")
+        LEADS_RAW,
+        card("0", f"CASE WHEN {_RELATIVE} THEN country ELSE raw_lead_age END", "1.0", "1.0")
         + " UNION ALL "
-        + card("1", "CASE WHEN raw_lead_age IS NULL OR raw_lead_age IN ('an hour ago', '12 Sep') THEN 0.0 ELSE 0.8 END",
-               "CASE WHEN buys_raw IS NULL THEN 1.0 ELSE 0.9 END"),
+        + card("1", "country", "0.8", "CASE WHEN buys_raw IS NULL THEN 1.0 ELSE 0.9 END"),
     ),
     "s2_page_scan": "SELECT CAST(page_id AS STRING) AS page_id, 0 AS card_no, url AS raw_title FROM pages WHERE contains(html, 'BuyLdC_')",
     "x2_card_confidence": select(
@@ -261,7 +262,7 @@ SQL = {
         FROM leads_raw)""",
     ),
     "a1_one_action_per_event": select(
-        _MATCHES, "SELECT match_event_id, arg_min(row_id, (at, row_id)) AS row_id FROM matches GROUP BY match_event_id"
+        _MATCHES, "SELECT match_event_id, arg_min(row_id, (moment, row_id)) AS row_id FROM matches GROUP BY match_event_id"
     ),
     "a2_state_at_event": select(_MATCHES, "SELECT row_id, state FROM states"),
     "a4_action_status": select(_ATTEMPTS, "SELECT action_id, status, error_code, attempts, illegal FROM actions"),
@@ -270,7 +271,7 @@ SQL = {
         """SELECT row_id, CASE WHEN state = 'ON' THEN 'QUEUED' ELSE 'CANCELLED' END AS final_status, CASE state
         WHEN 'LOCKED' THEN 'LICENSE_INACTIVE' WHEN 'OFF' THEN 'AUTOMATION_DISABLED' END AS error_code FROM states""",
     ),
-    "a6_spacing": """SELECT action_id, gap_ms FROM (SELECT event_id AS action_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER
+    "a6_spacing": """SELECT action_id, gap_ms FROM (SELECT event_id AS action_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER
         (PARTITION BY user_id ORDER BY ts, event_id) AS gap_ms FROM events) WHERE gap_ms < 21600000""",
     "a7_snapshot": select(
         _ATTEMPTS,
