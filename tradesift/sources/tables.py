@@ -15,6 +15,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_few_files(rows: DataFrame, *columns: str) -> DataFrame:
+    """Input of fewer files than cores is spread over the cores; larger input is left alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *columns) if len(rows.inputFiles()) < cores else rows
+
+
 def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
@@ -37,12 +43,13 @@ def _choice(value: Column, options: dict, otherwise: Column | str | None = None)
 def leads_raw(spark: SparkSession, folder: str) -> DataFrame:
     """One row per rendering of a lead card, derived from order lines."""
     read = lambda name, *columns: read_table(spark, folder, name).select(*columns)
+    lines = read(
+        "lineitem",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        "l_quantity", "l_returnflag", "l_tax", "l_discount",
+    )
     rows = (
-        read(
-            "lineitem",
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-            "l_quantity", "l_returnflag", "l_tax", "l_discount",
-        )
+        spread_few_files(lines, "l_orderkey", "l_linenumber", "l_partkey")
         .join(read("orders", "o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read("customer", "c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
         .join(read("nation", "n_nationkey"), F.col("c_nationkey") == F.col("n_nationkey"))
