@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def test_stream_replay_equals_batch(spark, tmp_path):
         spark.createDataFrame(part, COMMANDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(COMMANDS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     events = jobs.stateful_replay(stream, ["license_id"], ["at_ms", "seq"], replay.Licence, replay.LICENCE_EVENTS)
-    query = jobs.run_available(events, lambda b, i: jobs.write_batch(b, i, str(tmp_path / "out")), "licences")
+    query = jobs.run_available(events, lambda b, i: jobs.write_batch(b, i, str(tmp_path / "out")), f"licences-{uuid.uuid4().hex}")
     query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("seq").select("http_status", "new_status").collect()
     batch = replay.replay_licences(spark.createDataFrame(rows, COMMANDS)).orderBy("seq")
