@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tradesift.llm import decontamination
+from tradesift.llm import decontamination, token_counts
 
 QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
+    "op4_token_counts": token_counts.op4_token_counts,
 }
 
 SQL = {
