@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tradesift.llm import decontamination, token_counts
+from tradesift.llm import decontamination, language_id, packing, token_counts
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op6_packing": packing.op6_packing,
 }
 
 SQL = {
