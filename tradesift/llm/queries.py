@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tradesift.llm import decontamination, language_id, near_dedup, packing, token_counts
+from tradesift.llm import decontamination, embedding_dedup, language_id, near_dedup, packing, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_packing": packing.op6_packing,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_embedding_dedup": embedding_dedup.OP2_SQL,
     "op3_decontamination": decontamination.OP3_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
 }
