@@ -5,12 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Maps A-Z to a-z and leaves every other byte, so UTF-8 text keeps its length.
 ASCII_LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_MAX_WORDS = 1_000_000
+
+
+class WordHashes(dict):
+    """64-bit hashes of words; computed once for each word that a worker meets, in bounded memory."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _MAX_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+WORD_HASHES = WordHashes()
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * _MIX
+    values = (values ^ (values >> np.uint64(29))) * _MIX
+    return values ^ (values >> np.uint64(32))
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

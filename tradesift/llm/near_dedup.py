@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradesift.llm.common import components, read_table, saved, text_bytes
+from tradesift.llm.common import STEP, WORD_HASHES, components, mixed, read_table, saved, text_bytes
 
 SHINGLE = 5
 BANDS = 20
@@ -41,28 +41,6 @@ DEVIATIONS = 5.0
 _draw = np.random.default_rng(20)
 _FACTORS = _draw.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _draw.integers(0, 1 << 63, REGISTERS, np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-_MAX_WORDS = 1_000_000
-
-
-class _WordHashes(dict):
-    """64-bit hashes of words; computed once for each word that a worker meets, in bounded memory."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MAX_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(32))) * _MIX
-    values = (values ^ (values >> np.uint64(29))) * _MIX
-    return values ^ (values >> np.uint64(32))
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -70,12 +48,12 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     total = hashes[: len(words) - width + 1].copy()
     for k in range(1, width):
-        total = _mixed(total) * _STEP + hashes[k : len(words) - width + 1 + k]
-    return np.unique(_mixed(total + np.uint64(width)))
+        total = mixed(total) * STEP + hashes[k : len(words) - width + 1 + k]
+    return np.unique(mixed(total + np.uint64(width)))
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
