@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from tradesift.llm import decontamination, embedding_dedup, language_id, near_dedup, packing, token_counts
+from tradesift.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, near_dedup, packing, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_packing": packing.op6_packing,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 
 SQL = {
     "op2_embedding_dedup": embedding_dedup.OP2_SQL,
     "op3_decontamination": decontamination.OP3_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
 }
