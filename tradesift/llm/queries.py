@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradesift.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, near_dedup, packing, token_counts
+from tradesift.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, near_dedup, packing, secret_scan, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
 SQL = {
