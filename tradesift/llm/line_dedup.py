@@ -236,6 +236,18 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     )
 
 
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns and what is left of their texts; those go that lost lines and have nothing left but blanks."""
+    names = docs.columns
+    inner = {id_col: "doc_id", text_col: "text"}
+    # other columns get names of their own, so none can clash
+    renamed = docs.select(*[F.col(f"`{c}`").alias(inner.get(c, f"_own_{k}")) for k, c in enumerate(names)])
+    removed = repeated_lines(renamed.select("doc_id", "text"), edits, min_chars)
+    rest = renamed.join(removed, "doc_id", "left").withColumn("text", _without("places"))
+    rest = rest.where(F.col("places").isNull() | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    return rest.select(*[F.col(inner.get(c, f"_own_{k}")).alias(c) for k, c in enumerate(names)])
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = dedup_lines(read_table(spark, folder, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
