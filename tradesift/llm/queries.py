@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradesift.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, near_dedup, packing, secret_scan, token_counts
+from tradesift.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, near_dedup, packing, secret_scan, substring_dedup, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_packing": packing.op6_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
