@@ -75,7 +75,7 @@ def text_bytes(table, column: str) -> list[bytes | None]:
     return table.column(column).cast(pa.binary()).to_pylist()
 
 
-def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(vertex, component): the smallest vertex reachable from each vertex that has an edge.
 
     Alternates large-star and small-star steps, so the number of rounds is logarithmic and a vertex
@@ -93,10 +93,11 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
     before = signature(current)
     while before[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # both sides of the joins are plain exchanges, so Spark can split the rows of a vertex with many neighbours
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.distinct().checkpoint()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(lowest, "u").select(
             F.explode(
                 F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))

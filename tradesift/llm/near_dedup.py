@@ -181,7 +181,8 @@ def _cluster_links(members: DataFrame, docs: DataFrame, size: int, percent: int,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "elements"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = texts.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(with_sets, "doc_id long, elements binary")
+    # texts move by their id at every size: a broadcast of the members would end at the size where it matters
+    wanted = texts.join(members.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(with_sets, "doc_id long, elements binary")
     counts = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     n_members = members.count()
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
