@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradesift.llm.common import read_table, text_bytes
+from tradesift.llm.common import ASCII_LOWER, read_table, text_bytes
 
 WINDOW = 10
 #: Words of items that one automaton may hold; more items go to more automata, each with its own pass.
@@ -257,7 +257,7 @@ def clean_text(text: bytes, automata_: list[ItemAutomaton], max_coverage: float)
             hit.update(range(start, stop))
         if len(hit) > max_coverage * len(words):
             return None
-        places = [m.span() for m in _WORD.finditer(text)]
+        places = [m.span() for m in _WORD.finditer(text.translate(ASCII_LOWER))]
         kept, at = [], 0
         for start, stop in spans:
             kept.append(text[at : max(at, places[start][0])])
