@@ -6,8 +6,8 @@ smoothed probability ``w * count(history, word) / count(history) + (1 - w) * sho
 unknown words. One pass from left to right carries the state: the longest history that exists.
 
 The model grows with the corpus and is nowhere in one piece. Documents are dealt to blocks of a bounded number of bytes.
-Each block sends its distinct n-grams, by hash range, to tasks that add up their counts; each range sends back what
-other blocks have of the same n-grams. So each block gets the part of the automaton that its texts can
+Each block sends its distinct n-grams, by hash range, to tasks that add up their counts; each range sends back how often
+other blocks have the same n-grams. So each block gets the part of the automaton that its texts can
 reach and walks it. A frequent n-gram is one entry for each block, never one for each occurrence.
 
 Tokens: A-Z as a-z, words between white space, then one end, which is also the history of the first word. N-grams are
@@ -46,26 +46,17 @@ def token_hashes(text: bytes | None) -> np.ndarray:
     return hashes
 
 
-def ngram_hashes(tokens: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each length up to ``order``, the hash of the n-gram that ends at each token; ends stand before the text."""
-    padded = np.concatenate((np.full(order - 1, _END), tokens))
-    rows, total = [], np.zeros(len(tokens), np.uint64)
+def ngram_hashes(padded: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each length up to ``order``, the hash of the n-gram that ends at each token after the first ``order - 1``."""
+    size = len(padded) - order + 1
+    rows, total = [], np.zeros(size, np.uint64)
     for n in range(1, order + 1):
         # from the last token back, so each longer n-gram extends the shorter one
-        total = mixed(total * STEP + padded[order - n : len(padded) - n + 1])
+        total = mixed(total * STEP + padded[order - n : order - n + size])
         rows.append(mixed(total + np.uint64(n)))
     return rows
 
 
-def history_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n tokens before each token, as ``ngram_hashes`` names n-grams of that length."""
-    padded = np.concatenate((np.full(n, _END), tokens[:-1]))
-    total = np.zeros(len(tokens), np.uint64)
-    for k in range(1, n + 1):
-        total = mixed(total * STEP + padded[n - k : n - k + len(tokens)])
-    return mixed(total + np.uint64(n))
-
-
 class Ranges:
     """Hash ranges: the leading bits name the range, the next 48 or fewer the n-gram within it."""
 
@@ -79,9 +70,6 @@ class Ranges:
     def part(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.drop - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
 
-    def key(self, part: int, rest: np.ndarray) -> np.ndarray:
-        return rest | np.uint64(part << (64 - self.drop - self.bits))
-
     def packed(self, keys: np.ndarray) -> bytes:
         rest = keys & np.uint64((1 << (64 - self.drop - self.bits)) - 1)
         return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -93,38 +81,63 @@ class Ranges:
         return wide.view("<u8").ravel()
 
 
-def block_ngrams(texts: list[bytes | None], trains: list[bool], order: int, ranges: Ranges) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of all n-grams of the texts, and how often each occurs in training texts."""
-    keys, weights = [], []
-    for text, learn in zip(texts, trains, strict=True):
-        for row in ngram_hashes(token_hashes(text), order):
-            keys.append(row)
-            weights.append(np.full(len(row), learn, np.int8))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    every = ranges.keys(np.concatenate(keys))
-    at = np.argsort(every, kind="stable")
-    every, weight = every[at], np.concatenate(weights)[at]
-    starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    return every[starts], np.add.reduceat(weight, starts, dtype=np.int64)
-
-
-def _count_of(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-    return np.where(keys[at] == wanted, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
-
-
-def walk(tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray, n_tokens: int, n_types: int, order: int, weight: float, ranges: Ranges) -> tuple[float, float, int]:
-    """(log10 of the base, log10 of the model, known tokens) of one text on its part of the automaton."""
-    grams = [_count_of(keys, counts, ranges.keys(row)) for row in ngram_hashes(tokens, order)]
-    base = (grams[0] + 1) / (n_tokens + n_types + 1)
-    probability = base
-    for n in range(2, order + 1):
-        history = _count_of(keys, counts, ranges.keys(history_hashes(tokens, n - 1)))
-        # where the state of the longer history is missing, the failure arc has been taken at no cost
-        arc = weight * grams[n - 1] / np.maximum(history, 1) + (1 - weight) * probability
-        probability = np.where(history > 0, arc, probability)
-    return float(np.log10(base).sum()), float(np.log10(probability).sum()), int((grams[0] > 0).sum())
+def to_bytes(counts: np.ndarray) -> bytes:
+    """A byte for each count, and those of 255 and more behind in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def from_bytes(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", offset=n)
+    return counts
+
+
+class Block:
+    """The n-grams of a block of texts: sorted distinct keys, their counts in training texts, and the key of each token."""
+
+    def __init__(self, texts: list[bytes | None], learn: list[bool], order: int, ranges: Ranges):
+        tokens = [token_hashes(t) for t in texts]
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.order = order
+        # ends stand before each text, so no n-gram reaches into the text before
+        pad = np.full(order - 1, _END)
+        flat = np.concatenate([part for t in tokens for part in (pad, t)] or [np.zeros(0, np.uint64)])
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64) if len(tokens) else self.sizes
+        owner = np.repeat(np.arange(len(tokens)), self.sizes)
+        at = np.arange(len(owner)) + owner * (order - 1)
+        every = np.concatenate([ranges.keys(row[at]) for row in ngram_hashes(flat, order)]) if len(tokens) else np.zeros(0, np.uint64)
+        by = np.argsort(every)
+        ordered = every[by]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)]
+        self.keys = ordered[new]
+        self.number = np.empty(len(every), np.int32)
+        self.number[by] = np.cumsum(new) - 1
+        weight = np.tile(np.array(learn, bool)[owner], order) if len(tokens) else np.zeros(0, bool)
+        self.counts = np.bincount(self.number[weight], minlength=len(self.keys)).astype(np.int64)
+        # the history before a text: of one token it is the end, longer ones are ends alone
+        self.before = [ranges.keys(ngram_hashes(np.full(2 * n - 1, _END), n)[-1])[0] for n in range(1, order)]
+
+    def spans(self, ranges: Ranges) -> list[tuple[int, int, int]]:
+        """(range, first, end) of the keys."""
+        part = ranges.part(self.keys)
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+        return list(zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True))
+
+    def walk(self, counts: np.ndarray, n_tokens: int, n_types: int, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known tokens, log10 of the base, log10 of the model) of each text. counts: of the keys, in the whole corpus."""
+        grams = counts[self.number].reshape(self.order, -1)
+        base = (grams[0] + 1) / (n_tokens + n_types + 1)
+        probability = base
+        for n in range(2, self.order + 1):
+            history = np.empty_like(grams[n - 2])
+            history[1:] = grams[n - 2][:-1]
+            at = np.searchsorted(self.keys, self.before[n - 2])
+            history[self.starts] = counts[at] if at < len(self.keys) and self.keys[at] == self.before[n - 2] else 0
+            # where the state of the longer history is missing, the failure arc has been taken at no cost
+            arc = weight * grams[n - 1] / np.maximum(history, 1) + (1 - weight) * probability
+            probability = np.where(history > 0, arc, probability)
+        add = lambda values: np.add.reduceat(values, self.starts)
+        return add((grams[0] > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(probability))
 
 
 def corpus_size(docs: DataFrame) -> tuple[int, int]:
@@ -172,70 +185,55 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, weight: float = WE
     ranges = Ranges(min(40, max(0, (size // RANGE_BYTES).bit_length())))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
 
+    def block_of(table: pa.Table) -> Block:
+        return Block(table["text"].cast(pa.binary()).to_pylist(), table["learn"].to_pylist(), order, ranges)
+
     def count(table: pa.Table) -> pa.Table:
-        keys, counts = block_ngrams(table["text"].cast(pa.binary()).to_pylist(), table["learn"].to_pylist(), order, ranges)
-        part = ranges.part(keys)
-        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        stops = [*starts[1:].tolist(), len(keys)]
-        spans = list(zip(starts.tolist(), stops, strict=True))
+        own = block_of(table)
+        spans = own.spans(ranges)
         return pa.table(
             {
                 "block": pa.array([table["block"][0].as_py()] * len(spans), pa.int64()),
-                "part": pa.array(part[starts]),
-                "rest": pa.array([ranges.packed(keys[a:b]) for a, b in spans], pa.binary()),
-                "counts": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+                "part": pa.array([part for part, _, _ in spans], pa.int64()),
+                "rest": pa.array([ranges.packed(own.keys[a:b]) for _, a, b in spans], pa.binary()),
+                "counts": pa.array([to_bytes(own.counts[a:b]) for _, a, b in spans], pa.binary()),
             }
         )
 
     def add_up(table: pa.Table) -> pa.Table:
-        """What the other blocks have of each n-gram of a block."""
-        blocks, rests = table["block"].to_pylist(), [Ranges.unpacked(r) for r in table["rest"].to_pylist()]
-        own = np.concatenate([np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()]).astype(np.int64)
-        _, number = np.unique(np.concatenate(rests), return_inverse=True)
+        """How often each n-gram of a block occurs in the other blocks; a block knows its n-grams, so only counts go back."""
+        rests = [Ranges.unpacked(r) for r in table["rest"].to_pylist()]
+        own = np.concatenate([from_bytes(c, len(r)) for c, r in zip(table["counts"].to_pylist(), rests, strict=True)])
+        every = np.concatenate(rests)
+        by = np.argsort(every)
+        new = np.concatenate(([True], every[by][1:] != every[by][:-1]))
+        number = np.empty(len(every), np.int64)
+        number[by] = np.cumsum(new) - 1
         others = np.bincount(number, own).astype(np.int64)[number] - own
-        out: dict[str, list] = {"block": [], "rest": [], "counts": []}
-        part, at = table["part"][0].as_py(), 0
-        for block, rest in zip(blocks, rests, strict=True):
-            more = others[at : at + len(rest)]
-            at += len(rest)
-            some = more > 0
-            if some.any():
-                out["block"].append(block)
-                out["rest"].append(ranges.packed(rest[some]))
-                out["counts"].append(more[some].astype("<i8").tobytes() if more.max() >= 1 << 32 else more[some].astype("<u4").tobytes())
-        return pa.table(
-            {
-                "block": pa.array(out["block"], pa.int64()),
-                "part": pa.array([part] * len(out["block"]), pa.int64()),
-                "rest": pa.array(out["rest"], pa.binary()),
-                "counts": pa.array(out["counts"], pa.binary()),
-            }
-        )
+        ends = np.cumsum([len(r) for r in rests]).tolist()
+        counts = [to_bytes(others[b - len(r) : b]) for r, b in zip(rests, ends, strict=True)]
+        return pa.table({"block": table["block"], "part": table["part"], "counts": pa.array(counts, pa.binary())})
 
     def score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        data = texts["text"].cast(pa.binary()).to_pylist()
-        keys, counts = block_ngrams(data, texts["learn"].to_pylist(), order, ranges)
-        for part, rest, more in zip(answers["part"].to_pylist(), answers["rest"].to_pylist(), answers["counts"].to_pylist(), strict=True):
-            found = Ranges.unpacked(rest)
-            counts[np.searchsorted(keys, ranges.key(part, found))] += np.frombuffer(more, "<i8" if len(more) == 8 * len(found) else "<u4")
-        sizes, results = [], []
-        for text in data:
-            tokens = token_hashes(text)
-            sizes.append(len(tokens))
-            results.append(walk(tokens, keys, counts, n_tokens, n_types, order, weight, ranges))
+        own = block_of(texts)
+        counts = own.counts.copy()
+        others = dict(zip(answers["part"].to_pylist(), answers["counts"].to_pylist(), strict=True))
+        for part, a, b in own.spans(ranges):
+            counts[a:b] += from_bytes(others[part], b - a)
+        known, base, model = own.walk(counts, n_tokens, n_types, weight)
         return pa.table(
             {
                 "doc_id": texts["doc_id"],
-                "n_tokens": pa.array(sizes, pa.int64()),
-                "n_known": pa.array([r[2] for r in results], pa.int64()),
-                "train_tokens": pa.array([n_tokens] * len(sizes), pa.int64()),
-                "base_score": pa.array([r[0] for r in results], pa.float64()),
-                "score": pa.array([r[1] for r in results], pa.float64()),
+                "n_tokens": pa.array(own.sizes, pa.int64()),
+                "n_known": pa.array(known, pa.int64()),
+                "train_tokens": pa.array(np.full(len(known), n_tokens), pa.int64()),
+                "base_score": pa.array(base, pa.float64()),
+                "score": pa.array(model, pa.float64()),
             }
         )
 
     counted = blocked.groupBy("block").applyInArrow(count, "block long, part long, rest binary, counts binary")
-    answers = counted.groupBy("part").applyInArrow(add_up, "block long, part long, rest binary, counts binary")
+    answers = counted.groupBy("part").applyInArrow(add_up, "block long, part long, counts binary")
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block, schema)
 
