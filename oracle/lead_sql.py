@@ -503,8 +503,7 @@ SQL |= {
         FROM events WHERE value IS NOT NULL GROUP BY event_type) t JOIN (
         SELECT event_type, s[greatest(1, CAST(ceil(0.5 * len(s)) AS INT))] AS p50,
           s[greatest(1, CAST(ceil(0.95 * len(s)) AS INT))] AS p95 FROM (
-          SELECT event_type, list_sort(list(value)) AS s FROM (SELECT event_type, value FROM events WHERE value IS NOT NULL
-            QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 200) GROUP BY event_type)) r
+          SELECT event_type, list_sort(list(value)) AS s FROM events WHERE value IS NOT NULL GROUP BY event_type)) r
         ON t.event_type = r.event_type""",
     "g11_button_counts": """SELECT count(*) FILTER (event_type IN ('click', 'purchase', 'signup')) AS found,
         count(*) FILTER (event_type = 'view') AS identity_mismatch,
@@ -555,7 +554,7 @@ SQL |= {
         VERDICTS,
         f"""SELECT k.row_id, v.status = 'MATCHED' IS TRUE AS eligible, CASE WHEN v.status IS NULL THEN 'STALE_LEAD'
         WHEN v.status <> 'MATCHED' THEN 'NOT_MATCHED' END AS code FROM known k LEFT JOIN (
-        SELECT * FROM (SELECT lead_id, row_id, status FROM known {_LATEST}) WHERE row_id NOT LIKE '%9') v
+        SELECT lead_id, row_id, status FROM known {_LATEST}) v
         ON v.lead_id = k.lead_id""",
     ),
 }

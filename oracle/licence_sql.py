@@ -6,7 +6,7 @@ from tradesift.plans.licence_queries import NOW_MS, PEPPER
 
 TABLES = f"""customers AS (SELECT c_custkey AS id, c_name AS name, lower(c_name) || '@example.org' AS email,
   c_mktsegment AS company FROM customer),
-licenses AS (
+licences AS (
   SELECT o_orderkey AS id, o_custkey AS customer_id,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'Pro' ELSE 'Standard' END AS plan,
     CASE WHEN o_orderkey % 17 = 0 THEN 'REVOKED' WHEN o_orderkey % 13 = 0 THEN 'SUSPENDED'
@@ -17,19 +17,19 @@ licenses AS (
     CASE WHEN status = 'ACTIVE' AND CAST(expires_on AS DATE) <= DATE '2000-01-01' THEN 'EXPIRED' ELSE status END AS effective_status
   FROM orders),
 bindings AS (
-  SELECT {LINE_ID} AS id, l_orderkey AS license_id,
+  SELECT {LINE_ID} AS id, l_orderkey AS licence_id,
     CASE l_linestatus WHEN 'O' THEN 'ACTIVE' ELSE 'RELEASED' END AS status, l_shipdate AS last_seen_at
   FROM lineitem),
 audit AS (
   SELECT event_id AS id, ts AS moment, user_id AS customer_id,
-    CASE event_type WHEN 'signup' THEN 'LICENSE_CREATED' WHEN 'purchase' THEN 'LICENSE_EXTENDED'
-      WHEN 'error' THEN 'ACTIVATION_REFUSED' WHEN 'click' THEN 'LICENSE_ACTIVATED' ELSE 'ADMIN_LOGIN' END AS action,
+    CASE event_type WHEN 'signup' THEN 'LICENCE_CREATED' WHEN 'purchase' THEN 'LICENCE_EXTENDED'
+      WHEN 'error' THEN 'ACTIVATION_REFUSED' WHEN 'click' THEN 'LICENCE_ACTIVATED' ELSE 'ADMIN_LOGIN' END AS action,
     CASE event_type WHEN 'error' THEN 'FAILURE' ELSE 'SUCCESS' END AS result
   FROM events),
-counted AS (SELECT license_id, count(*) AS devices, count(*) FILTER (status = 'ACTIVE') AS active_devices,
-  max(last_seen_at) AS last_validation_at FROM bindings GROUP BY license_id),
+counted AS (SELECT licence_id, count(*) AS devices, count(*) FILTER (status = 'ACTIVE') AS active_devices,
+  max(last_seen_at) AS last_validation_at FROM bindings GROUP BY licence_id),
 rows AS (SELECT l.*, c.name AS customer, c.email, c.company, coalesce(d.active_devices, 0) AS active_devices
-  FROM licenses l LEFT JOIN customers c ON c.id = l.customer_id LEFT JOIN counted d ON d.license_id = l.id)"""
+  FROM licences l LEFT JOIN customers c ON c.id = l.customer_id LEFT JOIN counted d ON d.licence_id = l.id)"""
 
 
 def message(status: str) -> str:
@@ -82,8 +82,8 @@ def card(number: str, country: str, age_sure: str, buys_sure: str) -> str:
 
 
 SQL = {
-    "b1_effective_status": licence("SELECT id, effective_status FROM licenses"),
-    "b2_status_message": licence(f"SELECT id, {message('effective_status')} AS message FROM licenses"),
+    "b1_effective_status": licence("SELECT id, effective_status FROM licences"),
+    "b2_status_message": licence(f"SELECT id, {message('effective_status')} AS message FROM licences"),
     "b3_licence_rows": licence(
         "SELECT id, customer_id, plan, status, effective_status, customer, email, company, active_devices FROM rows"
     ),
@@ -93,23 +93,23 @@ SQL = {
          OR lower(email) LIKE '%build%' OR lower(company) LIKE '%build%')"""
     ),
     "b5_customer_search": licence(
-        """SELECT c.id AS customer_id, name, email, company, coalesce(n, 0) AS license_count, newest.id AS license_id,
-        newest.plan AS license_plan, newest.effective_status AS license_status, coalesce(d.active, 0) AS device_count
+        """SELECT c.id AS customer_id, name, email, company, coalesce(n, 0) AS licence_count, newest.id AS licence_id,
+        newest.plan AS licence_plan, newest.effective_status AS licence_status, coalesce(d.active, 0) AS device_count
         FROM customers c LEFT JOIN (SELECT customer_id, count(*) AS n, bool_or(CAST(id AS STRING) LIKE '%12%') AS hit,
           arg_max({'id': id, 'plan': plan, 'effective_status': effective_status}, (created_at, id)) AS newest
-          FROM licenses GROUP BY customer_id) l ON l.customer_id = c.id
+          FROM licences GROUP BY customer_id) l ON l.customer_id = c.id
         LEFT JOIN (SELECT customer_id, sum(active_devices) AS active FROM rows GROUP BY customer_id) d ON d.customer_id = c.id
         WHERE lower(name) LIKE '%12%' OR email LIKE '%12%' OR lower(company) LIKE '%12%' OR hit"""
     ),
     "b6_device_search": licence(
-        """SELECT b.id, license_id, b.status, left(sha256(CAST(license_id AS STRING)), 10) || '…' AS device, c.name AS customer
-        FROM bindings b LEFT JOIN licenses l ON l.id = b.license_id LEFT JOIN customers c ON c.id = l.customer_id
-        WHERE b.status = 'ACTIVE' AND (lower(c.name) LIKE '%00%' OR CAST(license_id AS STRING) LIKE '%00%'
-          OR left(sha256(CAST(license_id AS STRING)), 10) LIKE '%00%')"""
+        """SELECT b.id, licence_id, b.status, left(sha256(CAST(licence_id AS STRING)), 10) || '…' AS device, c.name AS customer
+        FROM bindings b LEFT JOIN licences l ON l.id = b.licence_id LEFT JOIN customers c ON c.id = l.customer_id
+        WHERE b.status = 'ACTIVE' AND (lower(c.name) LIKE '%00%' OR CAST(licence_id AS STRING) LIKE '%00%'
+          OR left(sha256(CAST(licence_id AS STRING)), 10) LIKE '%00%')"""
     ),
     "b7_licence_details": licence(
         """SELECT l.id, effective_status, last_validation_at, coalesce(devices, 0) AS devices,
-        coalesce(active_devices, 0) AS active_devices FROM licenses l LEFT JOIN counted d ON d.license_id = l.id"""
+        coalesce(active_devices, 0) AS active_devices FROM licences l LEFT JOIN counted d ON d.licence_id = l.id"""
     ),
     "b7_recent_audit": licence(
         """SELECT customer_id, id, action FROM audit
@@ -123,15 +123,15 @@ SQL = {
         )
         + """, count(*) FILTER (effective_status = 'ACTIVE' AND date_diff('day', DATE '2000-01-01', CAST(expires_on AS DATE)) <= 7)
         AS expiring_soon, (SELECT count(*) FROM customers) AS customers,
-        (SELECT count(*) FROM bindings WHERE status = 'ACTIVE') AS active_devices FROM licenses"""
+        (SELECT count(*) FROM bindings WHERE status = 'ACTIVE') AS active_devices FROM licences"""
     ),
     "b9_expiring": licence(
-        """SELECT id, CAST(expires_on AS DATE) AS expires_on FROM licenses WHERE status = 'ACTIVE'
+        """SELECT id, CAST(expires_on AS DATE) AS expires_on FROM licences WHERE status = 'ACTIVE'
         AND abs(date_diff('day', DATE '2000-01-01', CAST(expires_on AS DATE))) <= 7 ORDER BY expires_on, id LIMIT 10"""
     ),
     "b10_audit_search": licence(
         """SELECT a.id, customer_id, c.name AS customer, action, result FROM audit a LEFT JOIN customers c ON c.id = customer_id
-        WHERE action = 'LICENSE_EXTENDED'"""
+        WHERE action = 'LICENCE_EXTENDED'"""
     ),
     "b11_paging": licence(
         """SELECT id, action, total, page, 30 AS page_size FROM (SELECT *, count(*) OVER () AS total,
@@ -145,9 +145,9 @@ SQL = {
           lower(CASE WHEN c_custkey % 7 = 0 THEN c_name ELSE c_name || '@example.org' END) AS email,
           nullif(c_mktsegment, '') AS company,
           CASE WHEN c_custkey % 5 = 0 THEN 'call me' ELSE '+91 (22) ' || CAST(c_custkey AS STRING) END AS phone FROM customer)""",
-    "b13_code_hash": f"""SELECT o_orderkey, regexp_matches({_CODE}, '^IMS-[A-Z0-9]{{4}}-[A-Z0-9]{{4}}-[A-Z0-9]{{4}}$') AS valid_code,
+    "b13_code_hash": f"""SELECT o_orderkey, regexp_matches({_CODE}, '^LIC-[A-Z0-9]{{4}}-[A-Z0-9]{{4}}-[A-Z0-9]{{4}}$') AS valid_code,
         sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode({_CODE})))) AS code_hash,
-        right({_CODE}, 4) AS code_hint FROM (SELECT o_orderkey, concat_ws('-', CASE WHEN o_orderkey % 9 = 0 THEN 'XMS' ELSE ' ims' END,
+        right({_CODE}, 4) AS code_hint FROM (SELECT o_orderkey, concat_ws('-', CASE WHEN o_orderkey % 9 = 0 THEN 'XIC' ELSE ' lic' END,
           substr(d, 1, 4), lower(substr(d, 5, 4)), substr(d, 9, 4) || '  ') AS code
         FROM (SELECT o_orderkey, upper(left(md5(CAST(o_orderkey AS STRING)), 12)) AS d FROM orders))""",
     "b14_licence_creation": licence(
@@ -162,27 +162,28 @@ SQL = {
             CASE WHEN k % 3 = 0 THEN {NOW_MS} + (k % 7 - 3) * 86400000 END AS ends FROM orders) r
         LEFT JOIN customers c ON c.id = r.owner)"""
     ),
-    "b17_unknown_codes": """SELECT o_orderkey AS request_id, 404 AS http_status, 'ACTIVATION_REFUSED' AS audit_action,
-        'FAILURE' AS audit_result, 'unknown code' AS detail FROM orders
-        WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')""",
+    "b17_unknown_codes": """SELECT o_orderkey AS request_id, CASE WHEN unknown THEN 404 END AS http_status,
+        CASE WHEN unknown THEN 'ACTIVATION_REFUSED' END AS audit_action, CASE WHEN unknown THEN 'FAILURE' END AS audit_result,
+        CASE WHEN unknown THEN 'unknown code' END AS detail FROM (SELECT *, o_orderkey % 7 = 0 OR o_custkey NOT IN (
+        SELECT c_custkey FROM customer) AS unknown FROM orders)""",
     "b18_validation": licence(
-        f"""SELECT request_id, CASE WHEN license_id % 7 = 0 THEN 400 WHEN NOT bound THEN 401
+        f"""SELECT request_id, CASE WHEN licence_id % 7 = 0 THEN 400 WHEN NOT bound THEN 401
           WHEN effective_status = 'ACTIVE' THEN 200 ELSE 403 END AS http_status,
-        CASE WHEN license_id % 7 = 0 THEN NULL WHEN NOT bound THEN 'UNREGISTERED' ELSE effective_status END AS client_status,
+        CASE WHEN licence_id % 7 = 0 THEN NULL WHEN NOT bound THEN 'UNREGISTERED' ELSE effective_status END AS client_status,
         {message("client_status")} AS message
-        FROM (SELECT b.id AS request_id, license_id, effective_status,
-          b.status = 'ACTIVE' AND license_id % 5 <> 0 AND l.id IS NOT NULL AS bound
-        FROM bindings b LEFT JOIN licenses l ON l.id = b.license_id)"""
+        FROM (SELECT b.id AS request_id, licence_id, effective_status,
+          b.status = 'ACTIVE' AND licence_id % 5 <> 0 AND l.id IS NOT NULL AS bound
+        FROM bindings b LEFT JOIN licences l ON l.id = b.licence_id)"""
     ),
     "b20_change_feed": licence(
-        f"""SELECT l.id AS change_id, license_id, b.id AS binding_id,
+        f"""SELECT l.id AS change_id, licence_id, b.id AS binding_id,
         CASE WHEN b.status = 'ACTIVE' THEN effective_status ELSE 'UNREGISTERED' END AS client_status,
-        {message("client_status")} AS message FROM licenses l JOIN bindings b ON b.license_id = l.id WHERE plan = 'Pro'"""
+        {message("client_status")} AS message FROM licences l JOIN bindings b ON b.licence_id = l.id"""
     ),
-    "b23_push_messages": """SELECT k AS c_custkey, kind, CASE WHEN kind = 'LICENSE_STATUS' THEN 'ACTIVE' END AS status,
+    "b23_push_messages": """SELECT k AS c_custkey, kind, CASE WHEN kind = 'LICENCE_STATUS' THEN 'ACTIVE' END AS status,
         CASE WHEN kind = 'AUTH_FAILED' THEN CASE WHEN k % 4 = 0 THEN 'unknown' ELSE 'late' END END AS reason
         FROM (SELECT c_custkey AS k, CASE WHEN k % 11 = 0 THEN NULL
-          WHEN k % 5 = 0 AND k % 3 = 0 AND k % 2 = 0 THEN 'LICENSE_STATUS'
+          WHEN k % 5 = 0 AND k % 3 = 0 AND k % 2 = 0 THEN 'LICENCE_STATUS'
           WHEN k % 5 = 1 THEN 'AUTH_OK' WHEN k % 5 = 2 THEN 'AUTH_FAILED' WHEN k % 5 = 3 THEN 'PONG' END AS kind FROM customer)""",
     "a8_action_validation": """SELECT c_custkey AS owner, c_custkey % 9 <> 0 AND c_custkey % 4 <> 0
         AND c_custkey % 1000 + 400 >= 500 AND c_custkey % 8 <= 5 AS valid FROM customer""",
@@ -191,13 +192,13 @@ SQL = {
         FROM (SELECT *, c_custkey % 9 <> 0 AND c_custkey % 4 <> 0 AND c_custkey % 1000 + 400 >= 500 AND c_custkey % 8 <= 5
         AS valid FROM customer)""",
     "s5_record_store": licence(
-        """SELECT customer_id AS id, created_at AS changed_at, id AS change_no, status FROM licenses
+        """SELECT customer_id AS id, created_at AS changed_at, id AS change_no, status FROM licences
         QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, id DESC) = 1"""
     ),
     "s1_page_gate": select(
         LEADS_RAW,
-        r"""SELECT CAST(page_id AS STRING) AS page_id, regexp_matches(url, '^https://seller\.indiamart\.com/') AS supported_url,
-        regexp_matches(url, '^https://seller\.indiamart\.com/') AND contains(html, 'BuyLdC_') AS active FROM pages
+        r"""SELECT CAST(page_id AS STRING) AS page_id, regexp_matches(url, '^https://leads\.example\.com/') AS supported_url,
+        regexp_matches(url, '^https://leads\.example\.com/') AND contains(html, 'BuyLdC_') AS active FROM pages
         UNION ALL SELECT row_id, TRUE, TRUE FROM leads_raw""",
     ),
     "x1_extract_cards": select(
@@ -245,7 +246,7 @@ SQL = {
     ),
     "x9_engagement": select(
         LEADS_RAW,
-        r"""SELECT row_id, CASE WHEN mobile_available THEN TRY_CAST(replace(regexp_extract(left(coalesce(quantity_raw, ''), 5),
+        r"""SELECT row_id, CASE WHEN mobile_available THEN TRY_CAST(replace(regexp_extract(coalesce(quantity_raw, ''),
           '^(\d[\d,]*)', 1), ',', '') AS BIGINT) END AS requirements, CASE WHEN mobile_available THEN 3 END AS calls,
         CASE WHEN mobile_available THEN 1126 END AS replies, mobile_available AS verified,
         CASE WHEN mobile_available THEN 'found' ELSE 'missing' END AS state FROM leads_raw""",
@@ -269,7 +270,7 @@ SQL = {
     "a5_cancelled": select(
         _MATCHES,
         """SELECT row_id, CASE WHEN state = 'ON' THEN 'QUEUED' ELSE 'CANCELLED' END AS final_status, CASE state
-        WHEN 'LOCKED' THEN 'LICENSE_INACTIVE' WHEN 'OFF' THEN 'AUTOMATION_DISABLED' END AS error_code FROM states""",
+        WHEN 'LOCKED' THEN 'LICENCE_INACTIVE' WHEN 'OFF' THEN 'AUTOMATION_DISABLED' END AS error_code FROM states""",
     ),
     "a6_spacing": """SELECT action_id, gap_ms FROM (SELECT event_id AS action_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER
         (PARTITION BY user_id ORDER BY ts, event_id) AS gap_ms FROM events) WHERE gap_ms < 21600000""",

@@ -20,8 +20,8 @@ def test_keyed_hash(spark):
     import hashlib
     import hmac
 
-    got = spark.range(1).select(hmac_sha256(F.lit("IMS-A"), "key")).first()[0]
-    assert got == hmac.new(b"key", b"IMS-A", hashlib.sha256).hexdigest()
+    got = spark.range(1).select(hmac_sha256(F.lit("KEY-A"), "key")).first()[0]
+    assert got == hmac.new(b"key", b"KEY-A", hashlib.sha256).hexdigest()
 
 
 RENDERING = (
@@ -74,7 +74,7 @@ def command(seq, name, device=None, days=None, at=None):
 
 
 COMMANDS = (
-    "license_id long, seq long, at_ms long, command string, device string, days int, until_ms long, "
+    "licence_id long, seq long, at_ms long, command string, device string, days int, until_ms long, "
     "version string, status string, start_expires_ms long, max_devices int"
 )
 
@@ -127,7 +127,7 @@ def test_stream_replay_equals_batch(spark, tmp_path):
     for number, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, COMMANDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(COMMANDS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    events = jobs.stateful_replay(stream, ["license_id"], ["at_ms", "seq"], replay.Licence, replay.LICENCE_EVENTS)
+    events = jobs.stateful_replay(stream, ["licence_id"], ["at_ms", "seq"], replay.Licence, replay.LICENCE_EVENTS)
     query = jobs.run_available(events, lambda b, i: jobs.write_batch(b, i, str(tmp_path / "out")), f"licences-{uuid.uuid4().hex}")
     query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("seq").select("http_status", "new_status").collect()
@@ -148,7 +148,7 @@ CARD = (
 
 def test_cards_of_a_page(spark):
     html = "<html><body><section>" + CARD.format(title="One") + CARD.format(title="Two") + "</section></body></html>"
-    page = ("p", "https://seller.indiamart.com/x", html)
+    page = ("p", "https://leads.example.com/x", html)
     frame = spark.createDataFrame([page, page, ("q", "https://example.org/", html)], "page_id string, url string, html string")
     got = cards.read_cards(pages.scan_pages(frame)).orderBy("card_no").collect()
     assert [(r.raw_title, r.country, r.lead_age_minutes) for r in got] == [("One", "Canada", 22.0), ("Two", "Canada", 22.0)]

@@ -30,7 +30,6 @@ CONTACT_PATTERNS = {
     "whatsapp": r"(?i)\bWhats\s*App\s+Available\b",
     "email": r"(?i)\bEmail(?:\s+ID)?\s+Available\b",
 }
-CONTACT_TEXT_LIMIT = 40
 ENGAGEMENT_PATTERNS = {
     "requirements": r"(?i)\bRequirements?\s*:?\s*(\d[\d,]*)",
     "calls": r"(?i)\bCalls?\s*:?\s*(\d[\d,]*)",
@@ -129,15 +128,13 @@ def breadcrumb_trail(crumbs: Column) -> Column:
     return X.let(cleaned, trail)
 
 
-def contact_availability(markers: Column, leaf_texts: Column) -> Column:
-    """Flags and source; marker texts win, else short leaf texts that read like a marker."""
-    looks_like = lambda text: (
-        (F.length(text) <= CONTACT_TEXT_LIMIT)
-        & (
-            text.rlike(CONTACT_PATTERNS["mobile"])
-            | text.rlike(CONTACT_PATTERNS["whatsapp"])
-            | text.rlike(CONTACT_PATTERNS["email"])
-        )
+def contact_availability(markers: Column, leaf_texts: Column, max_leaf_chars: int | None = None) -> Column:
+    """Flags and source; marker texts win, else leaf texts (of at most ``max_leaf_chars``) that read like a marker."""
+    short = lambda text: F.lit(True) if max_leaf_chars is None else F.length(text) <= max_leaf_chars
+    looks_like = lambda text: short(text) & (
+        text.rlike(CONTACT_PATTERNS["mobile"])
+        | text.rlike(CONTACT_PATTERNS["whatsapp"])
+        | text.rlike(CONTACT_PATTERNS["email"])
     )
     has_markers = F.size(markers) > 0
     texts = F.when(has_markers, markers).otherwise(F.filter(leaf_texts, looks_like))

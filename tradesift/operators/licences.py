@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradesift.session import checkpointed
 from tradesift.functions.hashing import hmac_sha256
 from tradesift.functions.text import collapse_spaces
 from tradesift.operators.ordered import latest_per_key, newest_of_key
@@ -14,20 +15,20 @@ from tradesift.plans.profiles import _is_absent, _is_type, _number, _text, parse
 
 # Statuses, messages, limits and patterns of the licence side.
 STATUS_MESSAGES = {
-    "ACTIVE": "License active.",
-    "EXPIRED": "License expired. Renew it to continue.",
-    "DISABLED": "License disabled by the administrator.",
-    "SUSPENDED": "License suspended. Contact support.",
-    "REVOKED": "License revoked.",
-    "UNREGISTERED": "This browser is not activated. Enter your license code.",
+    "ACTIVE": "Licence active.",
+    "EXPIRED": "Licence expired. Renew it to continue.",
+    "DISABLED": "Licence disabled by the administrator.",
+    "SUSPENDED": "Licence suspended. Contact support.",
+    "REVOKED": "Licence revoked.",
+    "UNREGISTERED": "This browser is not activated. Enter your licence code.",
 }
 EXPIRING_SOON_DAYS = 7
-DEFAULT_PAGE, MAX_PAGE = 25, 100
+DEFAULT_PAGE = 25
 RECENT_AUDIT = 50
 EXPIRING_LIST = 10
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 PHONE_PATTERN = r"^[0-9+()\-.\s]{6,30}$"
-CODE_PATTERN = r"^IMS-[A-Z0-9]{4}-[A-Z0-9]{4}-[A-Z0-9]{4}$"
+CODE_PATTERN = r"^LIC-[A-Z0-9]{4}-[A-Z0-9]{4}-[A-Z0-9]{4}$"
 DEVICE_PATTERN = r"^[A-Za-z0-9-]{8,64}$"
 VERSION_PATTERN = r"^[0-9A-Za-z.+-]{1,20}$"
 ACTION_NAME_PATTERN = r"^[A-Z_]{3,40}$"
@@ -57,14 +58,14 @@ def licence_rows(licences: DataFrame, customers: DataFrame, bindings: DataFrame,
     people = customers.select(
         F.col("id").alias("customer_id"), F.col("name").alias("customer"), "email", "company"
     )
-    devices = active_devices(bindings, "license_id").withColumnRenamed("license_id", "id")
+    devices = active_devices(bindings, "licence_id").withColumnRenamed("licence_id", "id")
     rows = licences.drop("code_hash").withColumn("effective_status", effective_status(now))
     joined = rows.join(people, "customer_id", "left").join(devices, "id", "left")
     return joined.withColumn("active_devices", F.coalesce("active_devices", F.lit(0)))
 
 
 def cleaned_query(query: str | None) -> str:
-    return " ".join((query or "").split())[:100].lower()
+    return " ".join((query or "").split()).lower()
 
 
 def _contains_any(columns: list[str], query: str) -> Column:
@@ -93,26 +94,26 @@ def search_customers(
     matched = F.max(_contains_any(hint, query).cast("int"))
     seen = F.max("last_seen_at") if "last_seen_at" in licences.columns else F.lit(None)
     summary = own.groupBy("customer_id").agg(
-        F.count("*").alias("license_count"),
+        F.count("*").alias("licence_count"),
         F.max_by(F.struct("id", "plan", "effective_status"), newest).alias("_newest"),
-        matched.alias("_license_matches"),
+        matched.alias("_licence_matches"),
         seen.alias("last_seen_at"),
     )
-    owners = licences.select(F.col("id").alias("license_id"), "customer_id")
-    active = bindings.filter(F.col("status") == "ACTIVE").groupBy("license_id").agg(F.count("*").alias("n"))
+    owners = licences.select(F.col("id").alias("licence_id"), "customer_id")
+    active = bindings.filter(F.col("status") == "ACTIVE").groupBy("licence_id").agg(F.count("*").alias("n"))
     devices = (
-        active.join(owners, "license_id").groupBy("customer_id").agg(F.sum("n").alias("device_count"))
+        active.join(owners, "licence_id").groupBy("customer_id").agg(F.sum("n").alias("device_count"))
     )
     rows = customers.withColumnRenamed("id", "customer_id")
     rows = rows.join(summary, "customer_id", "left").join(devices, "customer_id", "left")
     by_name = _contains_any(["name", "email", "company"], query)
-    by_licence = F.coalesce(F.col("_license_matches"), F.lit(0)) == 1
+    by_licence = F.coalesce(F.col("_licence_matches"), F.lit(0)) == 1
     return rows.filter(by_name | by_licence).select(
         "customer_id", "name", "email", "company",
-        F.coalesce("license_count", F.lit(0)).alias("license_count"),
-        F.col("_newest.id").alias("license_id"),
-        F.col("_newest.plan").alias("license_plan"),
-        F.col("_newest.effective_status").alias("license_status"),
+        F.coalesce("licence_count", F.lit(0)).alias("licence_count"),
+        F.col("_newest.id").alias("licence_id"),
+        F.col("_newest.plan").alias("licence_plan"),
+        F.col("_newest.effective_status").alias("licence_status"),
         F.coalesce("device_count", F.lit(0)).alias("device_count"),
         "last_seen_at",
     )
@@ -128,11 +129,11 @@ def search_devices(
 ) -> DataFrame:
     if status in ("ACTIVE", "RELEASED"):
         bindings = bindings.filter(F.col("status") == status)
-    owners = licences.select(F.col("id").alias("license_id"), "customer_id", "plan")
+    owners = licences.select(F.col("id").alias("licence_id"), "customer_id", "plan")
     names = customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer"))
     rows = bindings.withColumn("device", mask_hash(F.col("device_id_hash"))).drop("device_id_hash", "token_hash")
-    rows = rows.join(owners, "license_id", "left").join(names, "customer_id", "left")
-    return rows.filter(_contains_any(["customer", "license_id", "device"], cleaned_query(query)))
+    rows = rows.join(owners, "licence_id", "left").join(names, "customer_id", "left")
+    return rows.filter(_contains_any(["customer", "licence_id", "device"], cleaned_query(query)))
 
 
 def recent_audit(audit: DataFrame, key: str, limit: int = RECENT_AUDIT) -> DataFrame:
@@ -142,7 +143,7 @@ def recent_audit(audit: DataFrame, key: str, limit: int = RECENT_AUDIT) -> DataF
 
 def licence_details(licences: DataFrame, bindings: DataFrame, now: Column) -> DataFrame:
     """Licence with effective status, last validation and its devices counted by state."""
-    seen = bindings.groupBy(F.col("license_id").alias("id")).agg(
+    seen = bindings.groupBy(F.col("licence_id").alias("id")).agg(
         F.max("last_seen_at").alias("last_validation_at"),
         F.count("*").alias("devices"),
         F.count_if(F.col("status") == "ACTIVE").alias("active_devices"),
@@ -184,43 +185,72 @@ def search_audit(
     if customer_id is not None:
         audit = audit.filter(F.col("customer_id") == customer_id)
     if licence_id is not None:
-        audit = audit.filter(F.col("license_id") == licence_id)
+        audit = audit.filter(F.col("licence_id") == licence_id)
     if action and re.match(ACTION_NAME_PATTERN, action):
         audit = audit.filter(F.col("action") == action)
     names = customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer"))
     return audit.join(names, "customer_id", "left")
 
 
-def paginate(rows: DataFrame, order: list[Column], page=1, page_size=DEFAULT_PAGE) -> DataFrame:
-    """One page in a total order, with total, page and page_size; the page is kept in range."""
+def paginate(
+    rows: DataFrame, order: list[str], page: int = 1, page_size: int = DEFAULT_PAGE, max_page_size: int | None = None
+) -> DataFrame:
+    """One page in descending order of ``order``, a total order, with total, page and page_size; the page is kept in range.
+
+    Rows are cut into ranges of the order. Only the counts of the ranges are ranked; then the ranges that the
+    page lies in are sorted. No task and no driver holds the rows before the page.
+    """
     as_int = lambda value, default: value if isinstance(value, int) else default
-    size = min(MAX_PAGE, max(1, as_int(page_size, DEFAULT_PAGE)))
-    total = rows.count()
-    pages = max(1, -(-total // size))
-    number = min(pages, max(1, as_int(page, 1)))
-    items = rows.orderBy(*order).offset((number - 1) * size).limit(size)
-    return items.withColumns(
-        {"total": F.lit(total), "page": F.lit(number), "page_size": F.lit(size)}
+    size = max(1, as_int(page_size, DEFAULT_PAGE))
+    size = min(size, max_page_size) if max_page_size else size
+    ranged = rows.repartitionByRange(*[F.desc(name) for name in order]).withColumn("_range", F.spark_partition_id())
+    ranged = checkpointed(ranged)
+    # each range is numbered on its own; what stands before it is a sum over the small table of counts
+    within = Window.partitionBy("_range").orderBy(*[F.desc(name) for name in order])
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(everything).alias("total")
     )
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size))
+    first = (F.least(pages, F.lit(max(1, as_int(page, 1)))) - 1) * size
+    wanted = starts.withColumns({"_first": first}).join(counts, "_range")
+    wanted = wanted.filter((F.col("_start") < F.col("_first") + size) & (F.col("_start") + F.col("_n") > F.col("_first")))
+    numbered = ranged.join(wanted.drop("_n"), "_range").withColumn("_place", F.col("_start") + F.row_number().over(within) - 1)
+    items = numbered.filter((F.col("_place") >= F.col("_first")) & (F.col("_place") < F.col("_first") + size))
+    page_number = (F.col("_first") / size).cast("int") + 1
+    return items.select(*rows.columns, "total", page_number.alias("page"), F.lit(size).alias("page_size"))
+
+
+#: Longest accepted texts; longer ones are refused, never cut.
+TEXT_LIMITS = {"name": 120, "email": 200, "company": 160, "phone": 30, "plan": 60}
+
+
+def _cleaned(name: str) -> Column:
+    return F.coalesce(collapse_spaces(F.col(name)), F.lit(""))
 
 
-def _short(name: str, limit: int) -> Column:
-    return F.left(F.coalesce(collapse_spaces(F.col(name)), F.lit("")), F.lit(limit))
+def _too_long(name: str) -> Column:
+    return F.length(name) > TEXT_LIMITS[name]
 
 
 def validate_customers(requests: DataFrame) -> DataFrame:
     """Cleaned fields and the first reason for refusal, null when valid."""
     rows = requests.withColumns(
         {
-            "name": _short("name", 120),
-            "email": F.lower(_short("email", 200)),
-            "company": _short("company", 160),
-            "phone": _short("phone", 30),
+            "name": _cleaned("name"),
+            "email": F.lower(_cleaned("email")),
+            "company": _cleaned("company"),
+            "phone": _cleaned("phone"),
         }
     )
     blank = lambda name: F.when(F.col(name) != "", F.col(name))
     refused = (
         F.when(F.col("name") == "", "Customer name is required.")
+        .when(_too_long("name"), "Customer name is too long.")
+        .when(_too_long("email"), "Email is too long.")
+        .when(_too_long("company"), "Company is too long.")
         .when(~F.col("email").rlike(EMAIL_PATTERN), "A valid email is required.")
         .when(
             (F.col("phone") != "") & ~F.col("phone").rlike(PHONE_PATTERN),
@@ -267,7 +297,8 @@ def validate_licence_requests(requests: DataFrame, customers: DataFrame, now_ms:
         )
     )
     expires = F.coalesce(F.col("expires_ms"), start + F.col("days").cast("bigint") * 86_400_000)
-    plan = F.coalesce(F.nullif(_short("plan", 60), F.lit("")), F.lit("Standard"))
+    refused = F.coalesce(refused, F.when(_too_long("plan"), "Plan is too long."))
+    plan = F.coalesce(F.nullif(_cleaned("plan"), F.lit("")), F.lit("Standard"))
     return rows.withColumn("plan", plan).withColumns(
         {"refused": refused, "expires_at_ms": F.when(refused.isNull(), expires)}
     ).drop("_known")
@@ -285,12 +316,14 @@ def validate_tokens(
         {"readable": F.coalesce(readable, F.lit(False)), "token_hash": F.sha2("token", 256)}
     )
     bound = bindings.filter(F.col("status") == "ACTIVE").select(
-        "token_hash", F.col("device_id_hash").alias("_device"), "license_id"
+        "token_hash", F.col("device_id_hash").alias("_device"), "licence_id"
     )
     states = licences.select(
-        F.col("id").alias("license_id"), effective_status(now).alias("_status")
+        F.col("id").alias("licence_id"), effective_status(now).alias("_status")
     )
-    rows = rows.join(bound, "token_hash", "left").join(states, "license_id", "left")
+    # the states join the few bindings first: requests without a binding never meet a null key
+    held = bound.join(states, "licence_id")
+    rows = rows.join(held, "token_hash", "left")
     mine = F.coalesce(F.col("_device") == F.col("device_hash"), F.lit(False)) & F.col("_status").isNotNull()
     status = F.when(~F.col("readable"), None).when(~mine, "UNREGISTERED").otherwise(F.col("_status"))
     http = F.when(~F.col("readable"), 400).when(~mine, 401).when(F.col("_status") == "ACTIVE", 200)
@@ -307,15 +340,15 @@ def change_answers(
 ) -> DataFrame:
     """One answer per subscribed device of every changed licence; changes may be a stream."""
     devices = bindings.select(
-        "license_id", F.col("id").alias("binding_id"), F.col("status").alias("binding_status")
+        "licence_id", F.col("id").alias("binding_id"), F.col("status").alias("binding_status")
     )
     states = licences.select(
-        F.col("id").alias("license_id"), effective_status(now).alias("_status")
+        F.col("id").alias("licence_id"), effective_status(now).alias("_status")
     )
-    rows = changes.join(devices, "license_id").join(states, "license_id")
+    rows = changes.join(devices, "licence_id").join(states, "licence_id")
     status = F.when(F.col("binding_status") == "ACTIVE", F.col("_status")).otherwise("UNREGISTERED")
     return rows.select(
-        "change_id", "license_id", "binding_id",
+        "change_id", "licence_id", "binding_id",
         status.alias("client_status"), status_message(status).alias("message"),
     )
 
@@ -355,13 +388,13 @@ def read_push_messages(messages: DataFrame, text: str = "message") -> DataFrame:
     document = F.col("_document")
     kind = _text(document, "$.type")
     good = kind.isin("AUTH_OK", "AUTH_FAILED", "PONG") | (
-        (kind == "LICENSE_STATUS") & valid_server_answer(document, "$.license")
+        (kind == "LICENCE_STATUS") & valid_server_answer(document, "$.licence")
     )
     kept = F.when(F.coalesce(good, F.lit(False)), kind)
     return rows.withColumns(
         {
             "kind": kept,
-            "status": F.when(kept == "LICENSE_STATUS", _text(document, "$.license.status")),
+            "status": F.when(kept == "LICENCE_STATUS", _text(document, "$.licence.status")),
             "reason": F.when(
                 kept == "AUTH_FAILED", F.coalesce(_text(document, "$.reason"), F.lit("unknown"))
             ),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tradesift.operators.ordered import exploded, newest_of_key
 from tradesift.operators.scoring import PRIORITIES
 
-SAMPLE_SIZE = 200
 CARD_SAMPLES = 20
 
 
@@ -94,21 +93,26 @@ def warning_counts(leads: DataFrame) -> DataFrame:
     return _histogram(leads, F.col("normalization_warnings"), "warning")
 
 
-def recent_percentiles(
-    values: DataFrame, keys: list[str], value: str, newest: list[Column], shares: dict[str, float]
+def value_percentiles(
+    values: DataFrame,
+    keys: list[str],
+    value: str,
+    shares: dict[str, float],
+    newest: list[Column] | None = None,
+    last_n: int | None = None,
 ) -> DataFrame:
-    """Nearest-rank percentiles over the last 200 values per key; average and maximum over all."""
-    recent = newest_of_key(values, keys, newest, SAMPLE_SIZE)
-    ranks = recent.groupBy(*keys).agg(
+    """Average, maximum and nearest-rank percentiles per key, over the same values: all of them, or the
+    newest ``last_n`` where that is given."""
+    if last_n is not None:
+        values = newest_of_key(values, keys, newest, last_n)
+    return values.groupBy(*keys).agg(
+        _hundredths(F.avg(value)).alias("average"),
+        F.max(value).alias("maximum"),
         *[
             F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias(name)
             for name, share in shares.items()
-        ]
+        ],
     )
-    totals = values.groupBy(*keys).agg(
-        _hundredths(F.avg(value)).alias("average"), F.max(value).alias("maximum")
-    )
-    return totals.join(ranks, keys)
 
 
 def button_counts(results: DataFrame, order: list[str]) -> DataFrame:

@@ -569,9 +569,7 @@ def g9_warning_counts(spark, folder):
 
 def g10_recent_percentiles(spark, folder):
     events = tables.read_table(spark, folder, "events").filter("value IS NOT NULL")
-    newest = [F.desc("ts"), F.desc("event_id")]
-    shares = {"p50": 0.5, "p95": 0.95}
-    return statistics.recent_percentiles(events, ["event_type"], "value", newest, shares)
+    return statistics.value_percentiles(events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 def g11_button_counts(spark, folder):
@@ -631,7 +629,7 @@ def log_table(spark, folder) -> DataFrame:
 
 def l4_last_lines(spark, folder):
     lines = logs.numbered_lines(log_table(spark, folder), ["event_type"], ["ts", "event_id"])
-    return logs.last_lines(lines, ["event_type"], [F.desc("id")])
+    return logs.last_lines(lines, ["event_type"], [F.desc("id")], 200)
 
 
 def s7_lines_since(spark, folder):
@@ -645,7 +643,7 @@ def l5_action_lines(spark, folder):
         "ACTION_SUCCESS", "ACTION_FAILED", "ACTION_RETRYING", "ACTION_SKIPPED", "ACTION_CANCELLED",
     ]
     e = F.col("event_id")
-    reasons = F.array(*map(F.lit, ("license", "user", "standby", "disabled")))
+    reasons = F.array(*map(F.lit, ("licence", "user", "standby", "disabled")))
     events = tables.read_table(spark, folder, "events").select(
         "event_id",
         F.get(F.array(*map(F.lit, kinds)), (e % 9).cast("int")).alias("type"),

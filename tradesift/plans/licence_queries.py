@@ -21,7 +21,7 @@ def now():
 
 def _tables(spark, folder):
     return (
-        tables.licenses(spark, folder),
+        tables.licences(spark, folder),
         tables.customers(spark, folder),
         tables.device_bindings(spark, folder),
     )
@@ -32,13 +32,13 @@ def _rows(spark, folder) -> DataFrame:
 
 
 def b1_effective_status(spark, folder):
-    rows = tables.licenses(spark, folder)
+    rows = tables.licences(spark, folder)
     return rows.select("id", licences.effective_status(now()).alias("effective_status"))
 
 
 def b2_status_message(spark, folder):
     status = licences.effective_status(now())
-    return tables.licenses(spark, folder).select("id", licences.status_message(status).alias("message"))
+    return tables.licences(spark, folder).select("id", licences.status_message(status).alias("message"))
 
 
 def b3_licence_rows(spark, folder):
@@ -61,13 +61,13 @@ def b5_customer_search(spark, folder):
 
 def _hashed_bindings(spark, folder) -> DataFrame:
     rows = tables.device_bindings(spark, folder)
-    return rows.withColumn("device_id_hash", F.sha2(F.col("license_id").cast("string"), 256))
+    return rows.withColumn("device_id_hash", F.sha2(F.col("licence_id").cast("string"), 256))
 
 
 def b6_device_search(spark, folder):
     lics, people, _ = _tables(spark, folder)
     found = licences.search_devices(_hashed_bindings(spark, folder), lics, people, "ACTIVE", "00")
-    return found.select("id", "license_id", "status", "device", "customer")
+    return found.select("id", "licence_id", "status", "device", "customer")
 
 
 def b7_licence_details(spark, folder):
@@ -87,19 +87,19 @@ def b8_statistics(spark, folder):
 
 
 def b9_expiring(spark, folder):
-    return licences.expiring(tables.licenses(spark, folder), now()).select("id", "expires_on")
+    return licences.expiring(tables.licences(spark, folder), now()).select("id", "expires_on")
 
 
 def b10_audit_search(spark, folder):
     found = licences.search_audit(
-        tables.audit_log(spark, folder), tables.customers(spark, folder), action="LICENSE_EXTENDED"
+        tables.audit_log(spark, folder), tables.customers(spark, folder), action="LICENCE_EXTENDED"
     )
     return found.select("id", "customer_id", "customer", "action", "result")
 
 
 def b11_paging(spark, folder):
     rows = tables.audit_log(spark, folder).select("id", "at", "action")
-    page = licences.paginate(rows, [F.desc("at"), F.desc("id")], page=10**9, page_size=30)
+    page = licences.paginate(rows, ["at", "id"], page=10**9, page_size=30)
     return page.select("id", "action", "total", "page", "page_size")
 
 
@@ -121,7 +121,7 @@ PEPPER = "pepper for tests"
 def b13_code_hash(spark, folder):
     digits = F.upper(F.left(F.md5(F.col("o_orderkey").cast("string")), F.lit(12)))
     part = lambda start: F.substring(digits, start, 4)
-    prefix = F.when(F.col("o_orderkey") % 9 == 0, "XMS").otherwise(" ims")
+    prefix = F.when(F.col("o_orderkey") % 9 == 0, "XIC").otherwise(" lic")
     code = F.concat_ws("-", prefix, part(1), F.lower(part(5)), F.concat(part(9), F.lit("  ")))
     codes = tables.read_table(spark, folder, "orders").select("o_orderkey", code.alias("code"))
     return licences.with_code_hash(codes, PEPPER)
@@ -158,15 +158,15 @@ def licence_commands(spark, folder) -> DataFrame:
         ]
     )
     lines = tables.read_table(spark, folder, "lineitem")
-    starts = tables.licenses(spark, folder).select(
-        F.col("id").alias("license_id"),
+    starts = tables.licences(spark, folder).select(
+        F.col("id").alias("licence_id"),
         "status",
         _millis("expires_on").alias("start_expires_ms"),
         "max_devices",
     )
     part = F.col("l_partkey")
     commands = lines.select(
-        F.col("l_orderkey").alias("license_id"),
+        F.col("l_orderkey").alias("licence_id"),
         (F.col("l_linenumber") + part * 10).alias("seq"),
         _millis("l_shipdate").alias("at_ms"),
         F.when(part % 17 == 0, "revoke").otherwise(F.get(names, F.col("l_linenumber") % 8)).alias("command"),
@@ -175,7 +175,7 @@ def licence_commands(spark, folder) -> DataFrame:
         F.lit(None).cast("bigint").alias("until_ms"),
         F.lit("1.0").alias("version"),
     )
-    return commands.join(starts, "license_id")
+    return commands.join(starts, "licence_id")
 
 
 def b15_command_replay(spark, folder):
@@ -198,38 +198,36 @@ def b19_device_reset(spark, folder):
 
 def b17_unknown_codes(spark, folder):
     orders = tables.read_table(spark, folder, "orders")
-    requests = orders.select(
-        F.col("o_orderkey").alias("request_id"), F.md5(F.col("o_custkey").cast("string")).alias("code_hash")
-    )
-    known = tables.customers(spark, folder).filter("company <> 'BUILDING'")
-    known = known.select(F.md5(F.col("id").cast("string")).alias("code_hash"))
-    return replay.refuse_unknown_codes(requests, known)
+    code = F.when(F.col("o_orderkey") % 7 == 0, F.concat("o_custkey", F.lit("?"))).otherwise(F.col("o_custkey").cast("string"))
+    requests = orders.select(F.col("o_orderkey").alias("request_id"), F.md5(code).alias("code_hash"))
+    known = tables.customers(spark, folder).select(F.md5(F.col("id").cast("string")).alias("code_hash"))
+    refused = replay.refuse_unknown_codes(requests, known)
+    return requests.select("request_id").join(refused, "request_id", "left")
 
 
 def b18_validation(spark, folder):
     rows = tables.device_bindings(spark, folder)
-    owner = F.concat(F.lit("device-"), F.col("license_id").cast("string"))
+    owner = F.concat(F.lit("device-"), F.col("licence_id").cast("string"))
     token = F.concat(F.lit("token-of-binding-"), "id")
     bindings = rows.select(
-        "id", "license_id", "status",
+        "id", "licence_id", "status",
         F.sha2(token, 256).alias("token_hash"), F.sha2(owner, 256).alias("device_id_hash"),
     )
-    other = F.col("license_id") % 5 == 0
+    other = F.col("licence_id") % 5 == 0
     device = F.when(other, "device-of-somebody").otherwise(owner)
     requests = rows.select(
         F.col("id").alias("request_id"),
-        F.when(F.col("license_id") % 7 == 0, "short").otherwise(token).alias("token"),
+        F.when(F.col("licence_id") % 7 == 0, "short").otherwise(token).alias("token"),
         device.alias("device_id"),
         F.sha2(device, 256).alias("device_hash"),
     )
-    return licences.validate_tokens(requests, bindings, tables.licenses(spark, folder), now())
+    return licences.validate_tokens(requests, bindings, tables.licences(spark, folder), now())
 
 
 def b20_change_feed(spark, folder):
-    changes = tables.licenses(spark, folder).filter("plan = 'Pro'")
-    changes = changes.select(F.col("id").alias("change_id"), F.col("id").alias("license_id"))
+    changes = tables.licences(spark, folder).select(F.col("id").alias("change_id"), F.col("id").alias("licence_id"))
     return licences.change_answers(
-        changes, tables.device_bindings(spark, folder), tables.licenses(spark, folder), now()
+        changes, tables.device_bindings(spark, folder), tables.licences(spark, folder), now()
     )
 
 
@@ -261,9 +259,9 @@ def b22_client_state(spark, folder):
 def b23_push_messages(spark, folder):
     k = F.col("c_custkey")
     text = F.format_string(
-        '{"type":"%s","reason":%s,"license":{"status":"%s","expiresAt":%s,"serverTime":%s,"plan":"Pro",'
+        '{"type":"%s","reason":%s,"licence":{"status":"%s","expiresAt":%s,"serverTime":%s,"plan":"Pro",'
         '"customer":null,"codeHint":null,"message":"m"}}%s',
-        F.get(F.array(*map(F.lit, ("LICENSE_STATUS", "AUTH_OK", "AUTH_FAILED", "PONG", "OTHER"))), (k % 5).cast("int")),
+        F.get(F.array(*map(F.lit, ("LICENCE_STATUS", "AUTH_OK", "AUTH_FAILED", "PONG", "OTHER"))), (k % 5).cast("int")),
         F.when(k % 4 == 0, "7").otherwise('"late"'),
         F.when(k % 3 == 0, "ACTIVE").otherwise("PENDING"),
         F.when(k % 2 == 0, "null").otherwise('"soon"'),
@@ -305,7 +303,7 @@ def s4_stored_profile(spark, folder):
 
 
 def s5_record_store(spark, folder):
-    changes = tables.licenses(spark, folder).select(
+    changes = tables.licences(spark, folder).select(
         F.col("customer_id").alias("id"), F.col("created_at").alias("changed_at"),
         F.col("id").alias("change_no"), "status",
     )
@@ -435,7 +433,7 @@ def x9_engagement(spark, folder):
     leads = tables.leads_raw(spark, folder)
     text = F.when(
         F.col("mobile_available"),
-        F.concat_ws(" ", F.lit("Requirements:"), F.substring("quantity_raw", 1, 5), F.lit("Call 3 Replies: 1,126")),
+        F.concat_ws(" ", F.lit("Requirements:"), F.col("quantity_raw"), F.lit("Call 3 Replies: 1,126")),
     )
     leads = leads.withColumn("e", cards.engagement_counts(text))
     return leads.select("row_id", "e.requirements", "e.calls", "e.replies", "e.verified", "e.state")
@@ -530,7 +528,7 @@ def a2_state_at_event(spark, folder):
 
 def a3_eligibility(spark, folder):
     narrow = lead_queries.judged(spark, folder).select("lead_id", "row_id", "detected_at", "status")
-    current = lead_queries.verdicts.current_verdicts(narrow).filter("row_id NOT LIKE '%9'")
+    current = lead_queries.verdicts.current_verdicts(narrow)
     events = narrow.select("lead_id", "row_id")
     checked = actions.check_events(events, current, F.lit(True))
     return checked.select("row_id", "eligible", "code")

@@ -15,12 +15,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread_few_files(rows: DataFrame, *columns: str) -> DataFrame:
-    """Input of fewer files than cores is spread over the cores; larger input is left alone."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *columns) if len(rows.inputFiles()) < cores else rows
-
-
 def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
@@ -49,8 +43,7 @@ def leads_raw(spark: SparkSession, folder: str) -> DataFrame:
         "l_quantity", "l_returnflag", "l_tax", "l_discount",
     )
     rows = (
-        spread_few_files(lines, "l_orderkey", "l_linenumber", "l_partkey")
-        .join(read("orders", "o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(read("orders", "o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read("customer", "c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
         .join(read("nation", "n_nationkey"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(read("part", "p_partkey", "p_name", "p_size", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -144,7 +137,7 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def licenses(spark: SparkSession, folder: str) -> DataFrame:
+def licences(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("o_orderkey")
     days = _choice(key % 4, {0: 30, 1: 90, 2: 365}, F.lit(3650)).cast("int")
     return read_table(spark, folder, "orders").select(
@@ -166,7 +159,7 @@ def licenses(spark: SparkSession, folder: str) -> DataFrame:
 def device_bindings(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "lineitem").select(
         _line_id().alias("id"),
-        F.col("l_orderkey").alias("license_id"),
+        F.col("l_orderkey").alias("licence_id"),
         F.when(F.col("l_linestatus") == "O", "ACTIVE").otherwise("RELEASED").alias("status"),
         F.col("l_shipdate").alias("last_seen_at"),
     )
@@ -180,10 +173,10 @@ def audit_log(spark: SparkSession, folder: str) -> DataFrame:
         _choice(
             F.col("event_type"),
             {
-                "signup": "LICENSE_CREATED",
-                "purchase": "LICENSE_EXTENDED",
+                "signup": "LICENCE_CREATED",
+                "purchase": "LICENCE_EXTENDED",
                 "error": "ACTIVATION_REFUSED",
-                "click": "LICENSE_ACTIVATED",
+                "click": "LICENCE_ACTIVATED",
             },
             "ADMIN_LOGIN",
         ).alias("action"),
