@@ -344,8 +344,27 @@ NAMED = ",\n".join([NORMALIZE, IDENTITY.format(source="normalized")])
 VERDICTS = ",\n".join([SCORE, IDENTITY.format(source="scored")])
 _SEEN = "PARTITION BY lead_id ORDER BY detected_at, row_id"
 _LATEST = "QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY detected_at DESC, row_id DESC) = 1"
+# the 53-bit hash of an identity: two 32-bit rounds over the UTF-16 units, then a final mix
+_UNITS = """list_transform(string_split(canonical_key, ''), lambda c: CAST(ord(c) AS UBIGINT))"""
+_WIDE = f"""flatten(list_transform({_UNITS}, lambda u: CASE WHEN u < 65536 THEN [u]
+    ELSE [55296 + (u - 65536) // 1024, 56320 + (u - 65536) % 1024] END))"""
+_ROUND = lambda start, by: (
+    f"list_reduce(list_prepend(CAST({start} AS UBIGINT), {_WIDE}), lambda h, u: (xor(h, u) * {by}) % 4294967296)"
+)
+_MIX = lambda one, other: (
+    f"xor((xor({one}, {one} >> 16) * 2246822507) % 4294967296, (xor({other}, {other} >> 13) * 3266489909) % 4294967296)"
+)
+_HASHED = f"""(SELECT canonical_key, h1, {_MIX("h2", "h1")} AS h2 FROM (SELECT canonical_key, {_MIX("h1", "h2")} AS h1, h2 FROM (
+    SELECT canonical_key, {_ROUND(3735928559, 2654435761)} AS h1, {_ROUND(1103547991, 1597334677)} AS h2
+    FROM (SELECT DISTINCT canonical_key FROM leads WHERE canonical_key IS NOT NULL))))"""
+_FINGERPRINT = "'fp_' || lpad(lower(to_hex((h2 % 2097152) * 4294967296 + h1)), 14, '0')"
 SQL |= {
     "d1_canonical_key": select(NAMED, "SELECT row_id, canonical_key FROM leads"),
+    "d2_fingerprint": select(NAMED, f"SELECT canonical_key, {_FINGERPRINT} AS fingerprint FROM {_HASHED}"),
+    "d3_lead_id": select(
+        NAMED,
+        f"SELECT fingerprint, 'lead_' || right(fingerprint, 14) AS lead_id FROM (SELECT {_FINGERPRINT} AS fingerprint FROM {_HASHED})",
+    ),
     "d4_title_key": select(NAMED, "SELECT row_id, title_key, cross_card_key FROM leads"),
     "d5_information": select(NAMED, "SELECT row_id, info FROM leads"),
     "d6_exact_duplicates": select(

@@ -105,23 +105,6 @@ def test_request_window_against_brute_force(spark):
     assert {r.at_ms: r.allowed for r in got} == allowed
 
 
-def test_client_grace(spark):
-    hour = 3_600_000
-    rows = [
-        ("d", 1, 0, "server", "ACTIVE", 1000 * hour, 0),
-        ("d", 2, 2 * hour, "failure", None, None, None),
-        ("d", 3, 25 * hour, "check", None, None, None),
-        ("d", 4, 26 * hour, "server", "ACTIVE", 5 * hour, 6 * hour),
-    ]
-    frame = spark.createDataFrame(
-        rows, "device_id string, seq long, local_ms long, kind string, status string, expires_ms long, server_ms long"
-    )
-    got = replay.replay_clients(frame).orderBy("seq").collect()
-    assert [(r.status, r.offline, r.usable) for r in got] == [
-        ("ACTIVE", False, True), ("ACTIVE", True, True), ("NETWORK_ERROR", False, False), ("EXPIRED", False, False),
-    ]
-
-
 def test_stream_replay_equals_batch(spark, tmp_path):
     rows = [command(n, name, "d1") for n, name in enumerate(["activate", "suspend", "activate", "reactivate", "revoke"], 1)]
     for number, part in enumerate((rows[:2], rows[2:])):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from tradesift.session import checkpointed
+
 
 def filter_computed(rows: DataFrame, condition: Column) -> DataFrame:
     """Filter on a value that is expensive to compute.
@@ -27,58 +29,59 @@ def exploded(rows: DataFrame, items: Column, name: str, keep: tuple[str, ...] =
     return all_items.filter(F.col(name).isNotNull())
 
 
-def with_previous(
-    rows: DataFrame,
-    keys: list[str],
-    order: list[str],
-    values: dict[str, str],
-    chunk: Column | None = None,
-) -> DataFrame:
+def in_ranges(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``_range``: contiguous ranges of (keys, order) of about the same number of rows.
+
+    A key with many rows has many ranges, so no task sorts or holds all of its rows. Both steps are kept
+    in the shared folder: the rows are computed once, and all that reads the ranges reads the same ones.
+    """
+    ranged = checkpointed(rows).repartitionByRange(*keys, *order)
+    return checkpointed(ranged.withColumn("_range", F.spark_partition_id()))
+
+
+def with_previous(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
     """Adds ``{new: column of the row before}`` within each key.
 
-    Keys are cut into time chunks: the window sorts one chunk of one key at a time, and the first
-    row of a chunk takes its values from a small table with the last row of every chunk. So no
-    task has to hold or sort all rows of a hot key.
+    A window sorts one range of a key at a time; the first row of a range takes its values from a small table
+    with the last row of every range.
     """
-    chunk = F.date_trunc("day", F.col(order[0])) if chunk is None else chunk
     carried = F.struct(*[F.col(source).alias(new) for new, source in values.items()])
-    rows = rows.withColumns({"_chunk": chunk, "_carried": carried})
-    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    rows = rows.withColumns(
-        {"_before": F.lag("_carried").over(within), "_number": F.row_number().over(within)}
-    )
-    last = rows.groupBy(*keys, "_chunk").agg(F.max_by("_carried", F.struct(*order)).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_chunk")
+    names = [name for name in rows.columns if not name.startswith("_") or name.startswith("_nfkc_")]
+    ranged = in_ranges(rows.withColumn("_carried", carried), keys, order)
+    within = Window.partitionBy(*keys, "_range").orderBy(*order)
+    last = ranged.groupBy(*keys, "_range").agg(F.max_by("_carried", F.struct(*order)).alias("_last"))
+    across = Window.partitionBy(*keys).orderBy("_range")
     previous = last.select(
         *[F.col(key).alias(f"_p_{key}") for key in keys],
-        F.col("_chunk").alias("_p_chunk"),
-        F.lag("_last").over(across).alias("_chunk_before"),
+        F.col("_range").alias("_p_range"),
+        F.lag("_last").over(across).alias("_range_before"),
     )
-    matches = [rows[key].eqNullSafe(previous[f"_p_{key}"]) for key in keys]
-    joined = rows.join(
-        previous, [*matches, rows["_chunk"].eqNullSafe(previous["_p_chunk"])], "left"
+    numbered = ranged.withColumns(
+        {"_before": F.lag("_carried").over(within), "_number": F.row_number().over(within)}
     )
-    before = F.when(F.col("_number") == 1, F.col("_chunk_before")).otherwise(F.col("_before"))
+    matches = [numbered[key].eqNullSafe(previous[f"_p_{key}"]) for key in keys]
+    joined = numbered.join(previous, [*matches, numbered["_range"] == previous["_p_range"]], "left")
+    before = F.when(F.col("_number") == 1, F.col("_range_before")).otherwise(F.col("_before"))
     return joined.withColumn("_before", before).select(
-        *[name for name in rows.columns if not name.startswith("_") or name.startswith("_nfkc_")],
-        *[F.col(f"_before.{new}").alias(new) for new in values],
+        *names, *[F.col(f"_before.{new}").alias(new) for new in values]
     )
 
 
-def with_number(
-    rows: DataFrame, keys: list[str], order: list[str], name: str, chunk: Column | None = None
-) -> DataFrame:
-    """Adds a number from 1 per key. Each chunk counts on its own, from the total of the ones before."""
-    chunk = F.date_trunc("day", F.col(order[0])) if chunk is None else chunk
-    rows = rows.withColumn("_chunk", chunk)
-    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+def with_number(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds a number from 1 per key. Each range counts on its own, from the total of the ones before."""
+    ranged = in_ranges(rows, keys, order)
+    within = Window.partitionBy(*keys, "_range").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     starts = counts.select(
-        *keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+        *[F.col(key).alias(f"_p_{key}") for key in keys],
+        F.col("_range").alias("_p_range"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
     )
-    numbered = rows.withColumn("_n", F.row_number().over(within)).join(starts, [*keys, "_chunk"])
-    return numbered.withColumn(name, F.col("_start") + F.col("_n")).drop("_chunk", "_n", "_start")
+    numbered = ranged.withColumn("_n", F.row_number().over(within))
+    matches = [numbered[key].eqNullSafe(starts[f"_p_{key}"]) for key in keys]
+    joined = numbered.join(starts, [*matches, numbered["_range"] == starts["_p_range"]])
+    return joined.select(*rows.columns, (F.col("_start") + F.col("_n")).alias(name))
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -238,24 +238,6 @@ def b21_request_limit(spark, folder):
     return replay.limit_requests(requests, limit=2, length_ms=6 * 3_600_000)
 
 
-def b22_client_state(spark, folder):
-    kind = F.col("event_type")
-    ts = _millis("ts")
-    events = tables.read_table(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias("device_id"),
-        F.col("event_id").alias("seq"),
-        ts.alias("local_ms"),
-        F.when(kind.isin("signup", "purchase"), "server")
-        .when(kind == "error", "failure")
-        .otherwise("check")
-        .alias("kind"),
-        F.when(kind == "signup", "ACTIVE").when(kind == "purchase", "SUSPENDED").alias("status"),
-        (ts + F.col("event_id") % 40 * 3_600_000).alias("expires_ms"),
-        ts.alias("server_ms"),
-    )
-    return replay.replay_clients(events)
-
-
 def b23_push_messages(spark, folder):
     k = F.col("c_custkey")
     text = F.format_string(
