@@ -35,7 +35,7 @@ GRAM = 50
 #: Places that a window can have before its anchor.
 REACH = WINDOW - GRAM
 #: Windows of a stretch: their shared bytes are one symbol.
-STRETCH = 13
+STRETCH = 7
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
 #: Bytes of a text that are hashed at once.
@@ -55,6 +55,7 @@ def _powers(base: int) -> np.ndarray:
         return np.cumprod(powers, dtype=np.uint64)
 
 
+_WEIGHTS = np.random.default_rng(8).integers(0, 1 << 63, REACH + WINDOW, np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
@@ -204,60 +205,65 @@ def repeated_windows(contexts: np.ndarray, lefts: np.ndarray, sizes: np.ndarray,
     """For each context a mask of the windows (bit k: the window k places after the farthest one before the anchor) that
     also start in an earlier context. contexts: rows of bytes, the anchor at place REACH, 0 beyond the text."""
     masks = np.zeros(len(docs), np.uint64)
-    order = np.lexsort((places, docs, fingers))
-    units: list[tuple[np.ndarray, int, np.ndarray]] = []  # (windowless symbols, first bit, contexts that have the unit)
-    whole: list[tuple[np.ndarray, int, np.ndarray]] = []
-    for start, stop in _spans_of(fingers[order]):
-        rows = order[start:stop]
-        cut = (lefts[rows] < REACH) | (sizes[rows] - lefts[rows] < WINDOW)
-        if cut.any():
-            # a text ends within reach: the anchor's own string is the one symbol of each context
-            for r in rows.tolist():
-                bytes_ = contexts[r].astype(np.int64)
-                low, high = REACH - int(lefts[r]), REACH + int(sizes[r] - lefts[r])
-                symbols = np.concatenate((bytes_[low:REACH] + 1, [1000 + start], bytes_[REACH + GRAM : high] + 1))
-                whole.append((symbols, low, np.array([r])))
-            continue
-        for first in range(0, REACH + 1, STRETCH):
-            count = min(STRETCH, REACH + 1 - first)
-            core = contexts[rows, first + count - 1 : first + WINDOW]
-            _, number, many = np.unique(np.ascontiguousarray(core).view(f"V{core.shape[1]}").ravel(), return_inverse=True, return_counts=True)
-            number = number.ravel()
-            shared = np.flatnonzero(many[number] > 1)
-            if not len(shared):
-                continue
-            stretch = contexts[rows[shared], first : first + WINDOW + count - 1]
-            _, unit = np.unique(np.ascontiguousarray(stretch).view(f"V{stretch.shape[1]}").ravel(), return_inverse=True)
-            unit = unit.ravel()
-            by_unit = np.argsort(unit, kind="stable")
-            for a, b in _spans_of(unit[by_unit]):
-                having = shared[by_unit[a:b]]
-                bytes_ = stretch[by_unit[a]].astype(np.int64)
-                symbol = 1000 + (start * (REACH + 1) + first) * len(rows) + int(number[having[0]])
-                symbols = np.concatenate((bytes_[: count - 1] + 1, [symbol], bytes_[WINDOW:] + 1))
-                units.append((symbols, first, rows[having]))
-                # rows are in order of their texts: of equal stretches all but the first are repeats
-                masks[rows[having[1:]]] |= np.uint64(((1 << count) - 1) << first)
+    order = np.lexsort((places, docs))
     rank = np.empty(len(docs), np.int64)
-    rank[np.lexsort((places, docs))] = np.arange(len(docs))
-    for found, length_of in ((units, lambda u: (len(u[0]) + 1) // 2), (whole, lambda u: REACH + 1)):
-        for length in sorted({length_of(u) for u in found}):
-            own = [u for u in found if length_of(u) == length]
-            # symbols of cores must be the same number within one sort only
-            numbers = _numbered([u[0] for u in own], length)
-            owner = np.repeat(np.arange(len(own)), [len(x) for x in numbers])
-            bit = np.concatenate([np.arange(len(x)) for x in numbers]) + np.array([u[1] for u in own])[owner]
-            number = np.concatenate(numbers)
-            fits = number >= 0
-            owner, bit, number = owner[fits], bit[fits], number[fits]
-            leader = np.array([u[2][0] for u in own])[owner]
-            by = np.lexsort((places[leader] + bit, docs[leader], number))
-            first_of = np.concatenate(([True], number[by][1:] != number[by][:-1]))
-            later = by[~first_of]
-            np.bitwise_or.at(masks, leader[later], np.uint64(1) << bit[later].astype(np.uint64))
+    rank[order] = np.arange(len(docs))
+    short = (lefts < REACH) | (sizes - lefts < WINDOW)
+    # where a text ends within reach of a context, all contexts of its anchor string are compared as a whole
+    with_cut = np.isin(fingers, fingers[short]) if short.any() else short
+    whole = np.flatnonzero(with_cut)
+    if len(whole):
+        core = np.unique(fingers[whole], return_inverse=True)[1].ravel() + 1000
+        strings = []
+        for r, symbol in zip(whole.tolist(), core.tolist(), strict=True):
+            bytes_ = contexts[r].astype(np.int64)
+            low, high = REACH - int(lefts[r]), REACH + int(sizes[r] - lefts[r])
+            strings.append(np.concatenate((bytes_[low:REACH] + 1, [symbol], bytes_[REACH + GRAM : high] + 1)))
+        _mark(masks, strings, REACH + 1, REACH - lefts[whole], whole, rank)
+    rows = np.flatnonzero(~with_cut)
+    if not len(rows):
+        return masks
+    # all contexts lie alike around their anchors, so one running sum of weighted bytes names any part of them
+    sums = np.zeros((len(rows), REACH + WINDOW + 1), np.uint64)
+    np.cumsum(contexts[rows].astype(np.uint64) * _WEIGHTS, axis=1, dtype=np.uint64, out=sums[:, 1:])
+    named = lambda first, stop: mixed(mixed(sums[:, stop] - sums[:, first]) + fingers[rows])
+    for first in range(0, REACH + 1, STRETCH):
+        count = min(STRETCH, REACH + 1 - first)
+        _, core, many = np.unique(named(first + count - 1, first + WINDOW), return_inverse=True, return_counts=True)
+        core = core.ravel()
+        shared = np.flatnonzero(many[core] > 1)
+        if not len(shared):
+            continue
+        stretch = named(first, first + WINDOW + count - 1)[shared]
+        by = np.lexsort((rank[rows[shared]], stretch))
+        again = np.concatenate(([False], stretch[by][1:] == stretch[by][:-1]))
+        # of equal stretches all but the first are repeats
+        masks[rows[shared[by[again]]]] |= np.uint64(((1 << count) - 1) << first)
+        units = shared[by[~again]]
+        # a stretch that stands alone around its shared bytes needs no comparison
+        units = units[np.bincount(core[units], minlength=len(many))[core[units]] > 1]
+        if len(units):
+            bytes_ = contexts[rows[units]].astype(np.int64) + 1
+            left, right = bytes_[:, first : first + count - 1], bytes_[:, first + WINDOW : first + WINDOW + count - 1]
+            symbols = np.concatenate((left, core[units, None] + 1000, right), axis=1)
+            _mark(masks, list(symbols), count, np.full(len(units), first), rows[units], rank)
     return masks
 
 
+def _mark(masks: np.ndarray, strings: list[np.ndarray], length: int, first_bits: np.ndarray, rows: np.ndarray, rank: np.ndarray) -> None:
+    """Sets the bits of the windows of ``length`` symbols that an earlier row has as well."""
+    numbers = _numbered(strings, length)
+    owner = np.repeat(np.arange(len(strings)), [len(x) for x in numbers])
+    bit = np.concatenate([np.arange(len(x)) for x in numbers]) + first_bits[owner]
+    number = np.concatenate(numbers)
+    fits = number >= 0
+    owner, bit, number = owner[fits], bit[fits], number[fits]
+    # equal windows lie alike around their anchors; the place decides between two of one document
+    by = np.lexsort((rank[rows[owner]], number))
+    again = by[np.concatenate(([False], number[by][1:] == number[by][:-1]))]
+    np.bitwise_or.at(masks, rows[owner[again]], np.uint64(1) << bit[again].astype(np.uint64))
+
+
 def _numbered(strings: list[np.ndarray], length: int) -> list[np.ndarray]:
     """``equal_windows`` over batches that never divide strings with a common core symbol."""
     cores = np.array([int(s.max()) for s in strings])
