@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -12,6 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tradesift.plans import lead_queries, licence_queries  # noqa: E402
 from tradesift.session import build_session  # noqa: E402
 
+#: Run three times after a warm run, as the baseline asks for throughput; the others run once.
+REPEATED = {"flagship_matches": 3, "normalize_leads": 3}
 QUERIES = {
     "flagship_matches": lead_queries.flagship,
     "normalize_leads": lead_queries.n15_normalized_lead,
@@ -23,21 +26,30 @@ QUERIES = {
     "licence_rows": licence_queries.b3_licence_rows,
     "command_replay": licence_queries.b15_command_replay,
     "state_at_event": licence_queries.a2_state_at_event,
-    "page_scan": licence_queries.s2_page_scan,
+    "card_extraction": licence_queries.x1_extract_cards,
 }
 
 
+def seconds(spark, query, folder: str) -> float:
+    start = time.perf_counter()
+    query(spark, folder).write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(f"local[{cpus}]", int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
+    # the dimension tables are small only here: joins shuffle, as they do on large tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     licence_queries.b1_effective_status(spark, folder).count()
     timings = {}
     for name, query in QUERIES.items():
-        start = time.perf_counter()
-        query(spark, folder).write.format("noop").mode("overwrite").save()
-        timings[name] = round(time.perf_counter() - start, 3)
+        times = REPEATED.get(name, 1)
+        if times > 1:
+            seconds(spark, query, folder)
+        timings[name] = round(statistics.median(seconds(spark, query, folder) for _ in range(times)), 3)
     result = {
         "metric": "total_seconds",
         "value": round(sum(timings.values()), 3),

@@ -207,7 +207,14 @@ SQL = {
         + " UNION ALL "
         + card("1", "country", "0.8", "CASE WHEN buys_raw IS NULL THEN 1.0 ELSE 0.9 END"),
     ),
-    "s2_page_scan": "SELECT CAST(page_id AS STRING) AS page_id, 0 AS card_no, url AS raw_title FROM pages WHERE contains(html, 'BuyLdC_')",
+    "s2_page_scan": select(
+        LEADS_RAW,
+        "SELECT page_id, card_no, raw_title FROM ("
+        + card("0", f"CASE WHEN {_RELATIVE} THEN country ELSE raw_lead_age END", "1.0", "1.0")
+        + " UNION ALL "
+        + card("1", "country", "0.8", "1.0")
+        + ")",
+    ),
     "x2_card_confidence": select(
         LEADS_RAW,
         f"""SELECT row_id, round({_SIGNALS.format(category="category IS NOT NULL", contact="mobile_available")}, 3)::DOUBLE

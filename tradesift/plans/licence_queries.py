@@ -295,12 +295,16 @@ def s5_record_store(spark, folder):
 # --- pages and cards ---
 
 
-def s1_page_gate(spark, folder):
+def all_pages(spark, folder) -> DataFrame:
+    """The stored pages and the lead pages."""
     stored = tables.read_table(spark, folder, "pages").select(
         F.col("page_id").cast("string").alias("page_id"), "url", "html"
     )
-    leads = pages.lead_pages(tables.leads_raw(spark, folder))
-    gated = pages.gated_pages(stored.unionByName(leads))
+    return stored.unionByName(pages.lead_pages(tables.leads_raw(spark, folder)))
+
+
+def s1_page_gate(spark, folder):
+    gated = pages.gated_pages(all_pages(spark, folder))
     return gated.select("page_id", "supported_url", "active")
 
 
@@ -315,9 +319,8 @@ def x1_extract_cards(spark, folder):
 
 
 def s2_page_scan(spark, folder):
-    return cards.read_cards(pages.scan_pages(tables.read_table(spark, folder, "pages"))).select(
-        "page_id", "card_no", "raw_title"
-    )
+    found = cards.with_card_confidence(pages.scan_pages(all_pages(spark, folder)))
+    return cards.read_cards(found).select("page_id", "card_no", "raw_title")
 
 
 def _signals():
