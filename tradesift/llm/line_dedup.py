@@ -11,7 +11,9 @@ edit distance in a band of ``2 * edits + 1`` diagonals, kept as bits of one inte
 verifies leaves the row.
 
 Defined results: a null text stays null and has no lines; blank lines are lines; rows with equal ids are one document;
-a null id is ordered before all others; texts that lose nothing keep every byte; other columns are never read.
+lines of a
+row with a null id come first and stay, and take no part in the search for near lines; texts that lose nothing keep every
+byte; other columns are never read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradesift.llm.common import read_table
+from tradesift.llm.common import read_table, saved
 
 EDITS = 2
 MIN_CHARS = 20
@@ -31,44 +33,46 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def plain(line: Column) -> Column:
+    """The line with one byte for each character: what lies within some edits does so still, and cuts are cheap."""
+    return F.encode(F.regexp_replace(line, r"[^\x00-\x7F]", "?"), "utf-8")
+
+
 def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
     """Start (from 0) and size of a segment of a line of some length."""
     start = F.floor(length * number / (edits + 1)).cast("int")
     return start, F.floor(length * (number + 1) / (edits + 1)).cast("int") - start
 
 
-def _key(number: int, length: Column, text: Column) -> Column:
-    return F.xxhash64(F.lit(number), length, text)
-
-
-def index_keys(line: Column, edits: int) -> Column:
-    length = F.length(line)
+def index_keys(line: Column, length: Column, edits: int) -> Column:
+    """Keys of all segments of a plain line."""
     keys = []
     for number in range(edits + 1):
         start, size = _segment(length, number, edits)
-        keys.append(_key(number, length, F.substring(line, start + 1, size)))
+        keys.append(F.xxhash64(F.lit(number), length, F.substring(line, start + 1, size)))
     return F.array(*keys)
 
 
 def probe_places(edits: int) -> list[tuple[int, int, int]]:
     """(how much shorter the indexed line is, segment, move of the segment) that a line has to probe: as many edits as
-    there are segments to the left can lie there, and the rest to the right."""
-    return [
+    there are segments to the left can lie there, and the rest to the right. The line's own segments come first."""
+    places = [
         (less, number, move)
         for less in range(edits + 1)
         for number in range(edits + 1)
         for move in range(max(-number, less - (edits - number)), min(number, less + (edits - number)) + 1)
     ]
+    return sorted(places, key=lambda p: (p[0] or abs(p[2]), p))
 
 
-def probe_keys(line: Column, edits: int) -> Column:
+def probe_keys(line: Column, length: Column, edits: int) -> Column:
     keys = []
     for less, number, move in probe_places(edits):
-        length = F.length(line) - less
-        start, size = _segment(length, number, edits)
-        inside = (start + move >= 0) & (start + move + size <= F.length(line)) & (length > 0)
-        keys.append(F.when(inside, _key(number, length, F.substring(line, start + (move + 1), size))))
-    return F.array_compact(F.array(*keys))
+        shorter = length - less
+        start, size = _segment(shorter, number, edits)
+        inside = (start + move >= 0) & (start + move + size <= length) & (shorter > 0)
+        keys.append(F.when(inside, F.xxhash64(F.lit(number), shorter, F.substring(line, start + (move + 1), size))))
+    return F.array(*keys)
 
 
 def edit_distance_within(first: Column, second: Column, edits: int) -> Column:
@@ -138,66 +142,77 @@ def _advanced(s: Column, letter: Column, *steps) -> Column:
     return through(through(match(s, letter), diagonal), advance)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of the wanted lines. wanted: doc_id, places."""
-    return (
-        docs.join(wanted, "doc_id")
-        .select("doc_id", "places", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def candidate_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
+    """Lines that share a segment, with their texts: rows of two different lines a and b, and for each key with more than
+    ``HOT`` lines rows of one line (b is a), where ``own`` marks the key's indexed lines. firsts: doc_id, line_no."""
+    places = firsts.groupBy("doc_id").agg(F.collect_set("line_no").alias("places"))
+    # documents move by their id once; every join with them uses that exchange again
+    distinct_lines = (
+        docs.join(places.hint("merge"), "doc_id")
+        # the outer form adds no filter on the texts, which would make this exchange another one
+        .select("doc_id", "places", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
         .where(F.array_contains("places", F.col("line_no")))
-        .select("doc_id", "line_no", "line")
+        .select("doc_id", "line_no", plain(F.col("line")).alias("line"))
+        .select("doc_id", "line_no", "line", F.length("line").alias("length"))
     )
-
-
-def _by_document(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("doc_id").agg(F.collect_set("line_no").alias("places"))
+    keys = lambda made, *more: distinct_lines.select(
+        "doc_id", "line_no", F.posexplode(made(F.col("line"), F.col("length"), edits)).alias("place", "key")
+    ).select("key", "doc_id", "line_no", *more)
+    of_key = Window.partitionBy("key")
+    index = (
+        keys(index_keys)
+        .select("key", F.col("doc_id").alias("y_id"), F.col("line_no").alias("y_no"), F.count(F.lit(1)).over(of_key).alias("n"))
+        .withColumn("hot", F.col("n") > HOT)
+        # a hot key has one row here: its lines are found among the probes, where each line has its own segments
+        .withColumn("first_of_key", F.row_number().over(of_key.orderBy("y_id", "y_no")))
+        .where(~F.col("hot") | (F.col("first_of_key") == 1))
+        .select("key", "y_id", "y_no", "hot")
+    )
+    probe = keys(probe_keys, (F.col("place") <= edits).alias("own")).where("key is not null")
+    met = probe.join(index.hint("merge"), "key").where("hot or doc_id <> y_id or line_no <> y_no")
+    met = met.withColumns({"x": F.struct("doc_id", "line_no"), "y": F.struct(F.col("y_id").alias("doc_id"), F.col("y_no").alias("line_no"))})
+    rows = met.select(
+        F.when(F.col("hot"), F.col("key")).alias("key"),
+        (F.col("hot") & F.col("own")).alias("own"),
+        F.when(F.col("hot"), F.col("x")).otherwise(F.least("x", "y")).alias("a"),
+        F.when(F.col("hot"), F.col("x")).otherwise(F.greatest("x", "y")).alias("b"),
+    ).distinct()
+    for end in "ab":
+        # the documents keep their column names, or their exchange would be another one
+        rows = (
+            rows.withColumn("doc_id", F.col(f"{end}.doc_id"))
+            .hint("merge")
+            .join(docs.select("doc_id", "text"), "doc_id")
+            .withColumn(f"{end}_line", F.get(F.split("text", "\n"), F.col(f"{end}.line_no")))
+            .drop("doc_id", "text")
+        )
+    return rows
 
 
 def near_earlier_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     """(doc_id, line_no) of the distinct lines that have an earlier line within ``edits`` edits. firsts: doc_id, line_no."""
-    distinct_lines = _texts(docs, _by_document(firsts))
-    entry = lambda keys: distinct_lines.select(F.explode(keys(F.col("line"), edits)).alias("key"), "doc_id", "line_no")
-    index = entry(index_keys).select("*", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"))
-    probe = entry(probe_keys)
-    named = lambda rows, name: rows.select(
-        *[c for c in rows.columns if c not in ("doc_id", "line_no", "line")],
-        *[F.col(c).alias(f"{name}_{c}") for c in ("doc_id", "line_no", "line") if c in rows.columns],
-    )
-    other = "(x_doc_id <> y_doc_id or x_line_no <> y_line_no)"
-    cold = named(probe, "x").join(named(index.where(F.col("n") <= HOT), "y"), "key").where(other)
-    pairs = cold.select("x_doc_id", "x_line_no", "y_doc_id", "y_line_no").distinct()
-
-    hot_index = index.where(F.col("n") > HOT)
-    hot_probe = probe.join(hot_index.select("key").distinct(), "key", "left_semi")
-    ends = [pairs.select(F.col(f"{e}_doc_id").alias("doc_id"), F.col(f"{e}_line_no").alias("line_no")) for e in "xy"]
-    wanted = ends[0].unionByName(ends[1]).unionByName(hot_index.select("doc_id", "line_no")).unionByName(hot_probe.select("doc_id", "line_no"))
-    text = _texts(docs, _by_document(wanted))
-    at = ["doc_id", "line_no"]
-    with_texts = pairs.join(named(text, "x"), ["x_doc_id", "x_line_no"]).join(named(text, "y"), ["y_doc_id", "y_line_no"])
-
-    block = F.pmod(F.xxhash64("doc_id", "line_no"), F.ceil(F.col("n") / HOT))
+    rows = saved(candidate_lines(docs, firsts, edits))
+    cold = rows.where(F.col("key").isNull()).where(F.levenshtein("a_line", "b_line", edits) >= 0)
+    hot = rows.where(F.col("key").isNotNull())
+    sizes = hot.where("own").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("blocks"))
     arrays = (
-        hot_index.join(text, at)
-        .groupBy("key", block.alias("block"))
-        .agg(F.collect_list(F.struct("doc_id", "line_no", "line")).alias("lines"))
-    )
-    probes = named(hot_probe.join(text, at), "x")
-    x_line, y = F.col("x_line"), F.col("y")
-    kept = F.filter(
-        "lines",
-        lambda l: (F.abs(F.length(l.line) - F.length(x_line)) <= edits)
-        & ((l.doc_id != F.col("x_doc_id")) | (l.line_no != F.col("x_line_no")))
-        & (F.levenshtein(l.line, x_line, edits) >= 0),
+        hot.where("own")
+        .join(sizes, "key")
+        .groupBy("key", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"))
+        .agg(F.collect_list(F.struct("a", "a_line")).alias("lines"))
     )
+    # the built-in banded distance is quick to refuse; what it lets through is verified by the band of bits
+    kept = F.filter("lines", lambda line: (line.a != F.col("b")) & (F.levenshtein(line.a_line, F.col("b_line"), edits) >= 0))
     hot_pairs = (
-        probes.join(arrays, "key")
-        .select("x_doc_id", "x_line_no", "x_line", F.explode(kept).alias("y"))
-        .select("x_doc_id", "x_line_no", "x_line", y.doc_id.alias("y_doc_id"), y.line_no.alias("y_line_no"), y.line.alias("y_line"))
+        hot.select("key", "b", "b_line")
+        .distinct()
+        .join(arrays, "key")
+        .select("b", "b_line", F.explode(kept).alias("y"))
+        .select(F.col("y.a").alias("a"), "b", F.col("y.a_line").alias("a_line"), "b_line")
     )
-    # the built-in banded distance is quick to refuse; what it lets through is verified by the band of bits
-    both = with_texts.where(F.levenshtein("x_line", "y_line", edits) >= 0).unionByName(hot_pairs)
-    verified = both.where(edit_distance_within(F.col("x_line"), F.col("y_line"), edits))
-    later = F.greatest(F.struct("x_doc_id", "x_line_no"), F.struct(F.col("y_doc_id").alias("x_doc_id"), F.col("y_line_no").alias("x_line_no")))
-    return verified.select(later.alias("at")).select(F.col("at.x_doc_id").alias("doc_id"), F.col("at.x_line_no").alias("line_no")).distinct()
+    both = cold.select("a", "b", "a_line", "b_line").unionByName(hot_pairs)
+    verified = both.where(edit_distance_within(F.col("a_line"), F.col("b_line"), edits))
+    return verified.select(F.greatest("a", "b").alias("at")).select("at.doc_id", "at.line_no").distinct()
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -206,7 +221,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     hashed = lines.select(
         "doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2")
     )
-    firsts = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    firsts = saved(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
     copies = (
         hashed.join(firsts, ["h1", "h2"])
         .where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))))
@@ -223,16 +238,17 @@ def _without(places: str) -> Column:
     return F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_near, text): every document with what is left of its text."""
+def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_lines, n_removed, n_near, removed): every document with the numbers (from 0) of the lines that go."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     removed = repeated_lines(narrow, edits, min_chars)
-    return narrow.join(removed, "doc_id", "left").select(
+    breaks = F.length("text") - F.length(F.translate("text", "\n", ""))
+    return narrow.select("doc_id", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines")).join(removed, "doc_id", "left").select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+        "n_lines",
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-        _without("places").alias("text"),
+        F.coalesce(F.sort_array("places"), F.array().cast("array<int>")).alias("removed"),
     )
 
 
@@ -249,8 +265,8 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int =
 
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = dedup_lines(read_table(spark, folder, "documents"))
-    return rows.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    rows = line_report(read_table(spark, folder, "documents"))
+    return rows.withColumn("removed", F.array_join("removed", ","))
 
 
 OP7_SQL = """
@@ -269,12 +285,8 @@ near AS (
 gone AS (
   SELECT doc_id, line_no, 0 AS near FROM long_line JOIN first USING (line) WHERE (doc_id, line_no) <> f
   UNION ALL SELECT f[1], f[2], 1 FROM near),
-left_over AS (
-  SELECT line.doc_id, string_agg(line, chr(10) ORDER BY line.line_no) AS text
-  FROM line LEFT JOIN gone ON gone.doc_id = line.doc_id AND gone.line_no = line.line_no WHERE gone.doc_id IS NULL GROUP BY 1),
-counts AS (SELECT doc_id, count(*) AS n_removed, sum(near) AS n_near FROM gone GROUP BY 1)
+counts AS (SELECT doc_id, count(*) AS n_removed, sum(near) AS n_near, string_agg(line_no, ',' ORDER BY line_no) AS removed FROM gone GROUP BY 1)
 SELECT d.doc_id, cast(coalesce(len(string_split(d.text, chr(10))), 0) AS bigint) AS n_lines,
-       cast(coalesce(n_removed, 0) AS bigint) AS n_removed, cast(coalesce(n_near, 0) AS bigint) AS n_near,
-       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(left_over.text, '')) END AS kept_sha256
-FROM documents d LEFT JOIN left_over ON left_over.doc_id = d.doc_id LEFT JOIN counts ON counts.doc_id = d.doc_id
+       cast(coalesce(n_removed, 0) AS bigint) AS n_removed, cast(coalesce(n_near, 0) AS bigint) AS n_near, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN counts ON counts.doc_id = d.doc_id
 """
