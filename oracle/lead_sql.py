@@ -550,6 +550,15 @@ SQL |= {
         FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 200""",
     "s7_lines_since": """SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS id
         FROM events QUALIFY id > 100""",
+    "l5_action_lines": """SELECT event_id, CASE WHEN k IN (0, 2, 3) THEN 'INFO' WHEN k = 4 THEN 'SUCCESS' WHEN k = 5 THEN 'ERROR' ELSE 'WARN' END AS level,
+        CASE k WHEN 0 THEN 'Auto-Click ON: matched leads will be contacted automatically' || CASE WHEN n > 0 THEN ' (' || n || ' queued)' ELSE '' END
+          WHEN 1 THEN ['Auto-Click locked: licence not active', 'Auto-Click STOPPED by user', 'Auto-Click paused: running in another tab',
+            'Auto-Click OFF'][why + 1] || CASE WHEN n > 0 THEN ' (' || n || ' cancelled)' ELSE '' END
+          WHEN 2 THEN 'Contact Buyer attempt ' || attempt || ': ' || label
+          ELSE 'Contact Buyer ' || ['queued', 'clicked', 'not clicked', 'will retry', 'skipped', 'cancelled'][k - 2] || ': ' || label
+            || CASE WHEN k IN (5, 6, 7) AND event_id % 2 = 0 THEN ' — STALE_LEAD: ' || coalesce(event_type, '') ELSE '' END END AS message
+        FROM (SELECT event_id, event_type, event_id % 9 AS k, event_id % 3 AS n, event_id % 4 AS attempt,
+          CAST(event_id // 9 % 4 AS INT) AS why, 'lead of user ' || user_id AS label FROM events)""",
     "l2_update_lines": select(
         VERDICTS,
         f"""SELECT level, count(*) AS n FROM (SELECT unnest(['INFO']
