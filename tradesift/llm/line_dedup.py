@@ -203,10 +203,13 @@ def near_earlier_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFr
     )
     # the built-in banded distance is quick to refuse; what it lets through is verified by the band of bits
     kept = F.filter("lines", lambda line: (line.a != F.col("b")) & (F.levenshtein(line.a_line, F.col("b_line"), edits) >= 0))
+    # a line meets each array of its key in another place, so a hot key is spread
     hot_pairs = (
         hot.select("key", "b", "b_line")
         .distinct()
-        .join(arrays, "key")
+        .join(sizes, "key")
+        .select("key", "b", "b_line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        .join(arrays, ["key", "block"])
         .select("b", "b_line", F.explode(kept).alias("y"))
         .select(F.col("y.a").alias("a"), "b", F.col("y.a_line").alias("a_line"), "b_line")
     )
@@ -242,7 +245,7 @@ def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     """(doc_id, n_lines, n_removed, n_near, removed): every document with the numbers (from 0) of the lines that go."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     removed = repeated_lines(narrow, edits, min_chars)
-    breaks = F.length("text") - F.length(F.translate("text", "\n", ""))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     return narrow.select("doc_id", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines")).join(removed, "doc_id", "left").select(
         "doc_id",
         "n_lines",
