@@ -332,6 +332,42 @@ def test_substrings_against_brute_force(spark, monkeypatch, piece):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == brute_repeats(texts)
 
 
+def test_windows_of_large_groups_share_their_numbers(monkeypatch):
+    draw = random.Random(4)
+    pick = lambda n: [draw.choice([1, 1, 1, 2]) for _ in range(n)]
+    for length in (4, 7):
+        # whole and cut strings; cores that are alone, and one that most strings have
+        strings = [
+            np.array([*pick(draw.choice([length - 1, length - 1, 2])), draw.choice([1000, 1000, 1000, 1001, 1002]), *pick(draw.choice([length - 1, length - 1, 3]))])
+            for _ in range(300)
+        ]
+        whole = substring_dedup._numbered(strings, length)
+        for most in (300, 40, 1):
+            monkeypatch.setattr(substring_dedup, "SORT_SYMBOLS", most)
+            names: dict[tuple, set] = {}
+            for s, numbers, wanted in zip(strings, substring_dedup._numbered(strings, length), whole, strict=True):
+                assert ((numbers >= 0) == (wanted >= 0)).all() and (numbers >= 0).sum() == max(0, len(s) - length + 1)
+                for k in np.flatnonzero(numbers >= 0).tolist():
+                    names.setdefault(tuple(s[k : k + length].tolist()), set()).add(int(numbers[k]))
+            assert all(len(n) == 1 for n in names.values()) and len(set.union(*names.values())) == len(names)
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("cut", [True, False])
+def test_passages_in_many_surroundings(spark, monkeypatch, cut):
+    monkeypatch.setattr(substring_dedup, "SORT_SYMBOLS", 300)
+    draw = random.Random(21)
+    passage, sides = words(300, 12)[:70], [words(310 + k, 40) for k in range(6)]
+    texts = {}
+    for k in range(90):
+        left, right = changed(draw.choice(sides), draw, draw.randint(0, 3)), changed(draw.choice(sides), draw, draw.randint(0, 3))
+        # with and without ends of texts within reach of the passage
+        near = draw.randint(20, 60) if cut else 120
+        texts[k] = left[-near:] + passage + right[: draw.randint(30, 60) if cut else 120]
+    got = substring_dedup.remove_repeats(docs(spark, list(texts.items()))).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == brute_repeats(texts)
+
+
 def test_substrings_of_documents(spark, texts):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.op8_substring_dedup(spark, SMALL).collect()}
     assert got == {i: (*r[:3], hashlib.sha256(r[3]).hexdigest()) for i, r in brute_repeats(texts).items()}

@@ -40,7 +40,7 @@ BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
-#: Symbols that are sorted at once.
+#: Symbols that are sorted at once; larger groups are divided by their symbols.
 SORT_SYMBOLS = 100_000
 _NO_ID = -(1 << 63)
 
@@ -170,29 +170,21 @@ def suffix_array(symbols: list[int]) -> list[int]:
 
 def equal_windows(strings: list[np.ndarray], length: int) -> list[np.ndarray]:
     """For each place of each string, a number that equal ``length``-symbol windows share; -1 where none fits."""
+    # one separator stands behind each string; it is smaller than all symbols
+    joined = np.concatenate([part for s in strings for part in (s + 1, [1])])
+    order = np.array(suffix_array(joined.tolist()), np.int64)
+    padded = np.concatenate((joined, np.zeros(length, joined.dtype)))
+    views = np.lib.stride_tricks.sliding_window_view(padded, length)
+    same = (views[order[1:]] == views[order[:-1]]).all(axis=1)
+    number = np.empty(len(joined), np.int64)
+    number[order] = np.concatenate(([0], np.cumsum(~same)))
     numbers: list[np.ndarray] = []
-    at = 0
-    while at < len(strings):
-        stop, held = at, 0
-        while stop < len(strings) and (stop == at or held + len(strings[stop]) < SORT_SYMBOLS):
-            held += len(strings[stop]) + 1
-            stop += 1
-        own = strings[at:stop]
-        # one separator stands behind each string; it is smaller than all symbols
-        joined = np.concatenate([part for s in own for part in (s + 1, [1])])
-        order = np.array(suffix_array(joined.tolist()), np.int64)
-        padded = np.concatenate((joined, np.zeros(length, joined.dtype)))
-        views = np.lib.stride_tricks.sliding_window_view(padded, length)
-        same = (views[order[1:]] == views[order[:-1]]).all(axis=1)
-        number = np.empty(len(joined), np.int64)
-        number[order] = np.concatenate(([0], np.cumsum(~same)))
-        start = 0
-        for s in own:
-            mine = number[start : start + len(s)].copy()
-            mine[max(0, len(s) - length + 1) :] = -1
-            numbers.append(mine)
-            start += len(s) + 1
-        at = stop
+    start = 0
+    for s in strings:
+        mine = number[start : start + len(s)].copy()
+        mine[max(0, len(s) - length + 1) :] = -1
+        numbers.append(mine)
+        start += len(s) + 1
     return numbers
 
 
@@ -265,26 +257,49 @@ def _mark(masks: np.ndarray, strings: list[np.ndarray], length: int, first_bits:
 
 
 def _numbered(strings: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """``equal_windows`` over batches that never divide strings with a common core symbol."""
+    """``equal_windows`` over batches of about ``SORT_SYMBOLS`` symbols; every window holds the core symbol of its string.
+
+    Equal windows lie alike around their core. A group of one core that is too large for a batch is divided by the symbol
+    before the ones its strings share: no window that holds this symbol has an equal one in another part. The windows that
+    begin behind it are told apart by their symbols beforehand, over the whole group."""
     cores = np.array([int(s.max()) for s in strings])
+    middle = [int(s.argmax()) for s in strings]
     order = np.argsort(cores, kind="stable")
-    out: list = [None] * len(strings)
-    batch: list[int] = []
+    out = [np.full(len(s), -1, np.int64) for s in strings]
+    batch: list[tuple[int, int]] = []
     held = offset = 0
 
     def sort_batch() -> None:
         nonlocal offset
-        for k, numbers in zip(batch, equal_windows([strings[b] for b in batch], length), strict=True):
-            out[k] = np.where(numbers >= 0, numbers + offset, -1)
-        offset += sum(len(strings[b]) + 1 for b in batch)
-
-    for a, b in _spans_of(cores[order]):
-        group = order[a:b].tolist()
-        if batch and held + sum(len(strings[k]) + 1 for k in group) > SORT_SYMBOLS:
+        for (k, shared), numbers in zip(batch, equal_windows([strings[k] for k, _ in batch], length), strict=True):
+            mine = numbers[: middle[k] - shared + 1]
+            out[k][: len(mine)] = np.where(mine >= 0, mine + offset, -1)
+        offset += held
+
+    # groups of strings with one core and so many equal symbols before it
+    todo = [(order[a:b].tolist(), 0) for a, b in reversed(_spans_of(cores[order]))]
+    while todo:
+        group, shared = todo.pop()
+        size = sum(len(strings[k]) + 1 for k in group)
+        if len(group) > 1 and size > SORT_SYMBOLS:
+            seen: dict[bytes, int] = {}
+            for k in group:
+                start = middle[k] - shared
+                if start + length <= len(strings[k]):
+                    rest = strings[k][middle[k] + 1 : start + length].astype(np.uint16).tobytes()
+                    out[k][start] = offset + seen.setdefault(rest, len(seen))
+            offset += len(seen)
+            parts: dict[int, list[int]] = {}
+            for k in group:
+                if middle[k] > shared:
+                    parts.setdefault(int(strings[k][middle[k] - shared - 1]), []).append(k)
+            todo += [(part, shared + 1) for part in parts.values()]
+            continue
+        if batch and held + size > SORT_SYMBOLS:
             sort_batch()
             batch, held = [], 0
-        batch += group
-        held += sum(len(strings[k]) + 1 for k in group)
+        batch += [(k, shared) for k in group]
+        held += size
     if batch:
         sort_batch()
     return out
