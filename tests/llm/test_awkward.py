@@ -66,6 +66,20 @@ def test_items_without_words_or_rows(spark, awkward, items):
     assert (got[7].n_hit, got[7].n_items, got[10].n_hit, got[3].n_words) == (30, 1, 1, 0)
 
 
+def test_many_automata_give_each_row_its_own_hits(spark, monkeypatch):
+    first, second = words(700, 30), words(701, 30)
+    items = spark.createDataFrame([(1, first), (2, second), (3, words(702, 30))], "item_id long, text string")
+    rows = [*awkward_rows(), (1, f"x {first} y"), (1, f"{second} z"), (None, first), (None, f"{first} {second}")]
+    one = sorted(decontamination.find_hits(docs(spark, rows), items).collect(), key=str)
+    monkeypatch.setattr(decontamination, "AUTOMATON_WORDS", 30)
+    assert len(decontamination.automata(items, "item_id", "text", decontamination.WINDOW)) == 3
+    many = sorted(decontamination.find_hits(docs(spark, rows), items).collect(), key=str)
+    assert many == one and len(many) == len(rows)
+    hit = [(r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in many if r.spans]
+    wanted = [(1, 32, [(1, 31)], ["1"]), (1, 31, [(0, 30)], ["2"]), (None, 30, [(0, 30)], ["1"]), (None, 60, [(0, 60)], ["1", "2"])]
+    assert sorted(hit, key=str) == sorted(wanted, key=str)
+
+
 def test_token_counts_of_empty_texts(awkward):
     got = {r.doc_id: r for r in token_counts.token_counts(awkward).collect() if r.doc_id}
     assert [(got[i].n_bytes, got[i].n_tokens, got[i].over_limit) for i in (3, 4)] == [(0, 0, False)] * 2

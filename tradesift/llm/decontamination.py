@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tradesift.llm.common import ASCII_LOWER, read_table, text_bytes
 
 WINDOW = 10
-#: Words of items that one automaton may hold; more items go to more automata, each with its own pass.
+#: Words of items that one automaton may hold; more items go to more automata, and each text meets all of them.
 AUTOMATON_WORDS = 200_000
 #: A document with a larger share of hit words is dropped by ``decontaminate``.
 MAX_COVERAGE = 0.5
@@ -171,65 +171,46 @@ def automata(items: DataFrame, id_col: str, text_col: str, window: int) -> list[
 _HITS = "doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of several automata, in order, with those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(spans):
+        if out and out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
+        else:
+            out.append((start, stop))
+    return out
+
+
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
               item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans, items) of every document: merged hit word ranges and the items that occur."""
-    context = docs.sparkSession.sparkContext
+    """(doc_id, n_words, spans, items) of every row: merged hit word ranges and the items that occur."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(automata(items, item_id, item_text, window))
 
-    def one_pass(automaton: ItemAutomaton | None) -> DataFrame:
-        shared = context.broadcast(automaton)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for batch in batches:
-                counts, spans, found = [], [], []
-                for text in text_bytes(batch, "text"):
-                    words = words_of(text)
-                    hit, ids = own.find(words) if own else ([], set())
-                    counts.append(len(words))
-                    spans.append([{"start": a, "stop": b} for a, b in hit])
-                    found.append(sorted(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(counts, pa.int64()),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                        pa.array(found, pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "n_words", "spans", "items"],
-                )
-
-        return narrow.mapInArrow(scan, _HITS)
-
-    parts = [one_pass(a) for a in automata(items, item_id, item_text, window)] or [one_pass(None)]
-    if len(parts) == 1:
-        return parts[0]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    ordered = F.sort_array(F.flatten(F.collect_list("spans")))
-    joined = F.aggregate(
-        ordered,
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda done, one: F.when(
-            (F.size(done) > 0) & (F.element_at(done, F.greatest(F.size(done), F.lit(1))).stop >= one.start),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1).start.alias("start"),
-                        F.greatest(F.element_at(done, -1).stop, one.stop).alias("stop"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(one))),
-    )
-    return rows.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        joined.alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = shared.value
+        for batch in batches:
+            counts, spans, found = [], [], []
+            for text in text_bytes(batch, "text"):
+                words = words_of(text)
+                # a row meets all automata here, so rows need no key that tells them apart
+                hits = [a.find(words) for a in built]
+                ranges = hits[0][0] if len(hits) == 1 else merged([s for own, _ in hits for s in own])
+                counts.append(len(words))
+                spans.append([{"start": a, "stop": b} for a, b in ranges])
+                found.append(sorted(set().union(*(ids for _, ids in hits))))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(counts, pa.int64()),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+                    pa.array(found, pa.list_(pa.string())),
+                ],
+                names=["doc_id", "n_words", "spans", "items"],
+            )
+
+    return narrow.mapInArrow(scan, _HITS)
 
 
 def digest(hits: DataFrame) -> DataFrame:
