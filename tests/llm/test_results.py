@@ -434,6 +434,31 @@ def test_secrets_are_told_from_words_and_numbers(spark):
     assert sorted((r.doc_id, r.finding, r.candidate) for r in found) == sorted((i, k, m) for i, t in rows for k, m in enumerate(pattern.findall(t)))
 
 
+def test_surroundings_of_secrets_are_those_of_the_whole_text(spark):
+    key = "0123456789abcdef" * 2 + "c0ffee"
+    long = "AWS_SECRET_ACCESS_KEY"
+    texts = {
+        0: f'{long} = "{key}"', 1: f"{long}={key}", 2: f'{long}="{key}" x', 3: f"{long}: {key}, x", 4: f'{{"{long}": "{key}"}}',
+        5: 'password = "Tr0ub4dor&3!"', 6: "password=Tr0ub4dor&3!; x", 7: f"token: secret: a1 {key} {key} é🙂{key} {key}|{key}", 8: 'pwd="" pwd = x',
+        9: 'secret = "correct horse 1" ' * 3, 10: words(1, 30),
+    }
+    found = secret_scan.candidates(docs(spark, list(texts.items()))).withColumn("label", secret_scan.rule_labels()).collect()
+    run = re.compile(secret_scan._RUN % secret_scan.MIN_CHARS)
+    values = {5: ["Tr0ub4dor&3!"], 6: ["Tr0ub4dor&3!"], 7: ["secret:", "a1"], 8: ["x"], 9: ["correct horse 1"] * 3}
+    for i, text in texts.items():
+        own = sorted((r.finding, r.candidate, r.before, r.after) for r in found if r.doc_id == i)
+        places = [m.span() for m in run.finditer(text)]
+        at = 0
+        for value in values.get(i, []):
+            at = text.index(value, at + 1)
+            places.append((at, at + len(value)))
+        assert own == [(k, text[a:b], text[max(0, a - 64) : a], text[b : b + 32]) for k, (a, b) in enumerate(places)]
+    assert {r.doc_id for r in found if r.label == 1} == {0, 2, 4, 5, 9}
+    named = dict(secret_scan.features([]))["named"]
+    table = spark.createDataFrame(found).withColumn("path", F.lit("")).select("doc_id", "candidate", named.alias("named")).collect()
+    assert all(r.named == 1 for r in table if r.candidate == key and r.doc_id < 5)
+
+
 def test_pipeline_keeps_clean_documents_and_removes_the_rest(spark, tmp_path):
     item = words(500, 40)
     clean = [(i, words(i, 120)) for i in range(20)]

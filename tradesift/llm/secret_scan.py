@@ -1,6 +1,8 @@
 """Secret scan whose false positives are removed by a random forest, in DataFrame functions only.
 
-A candidate is a run of at least ``min_chars`` characters of the kind that keys are made of. Its features are its length,
+A candidate is a run of at least ``min_chars`` characters of the kind that keys are made of, or a value given to a name
+like token or password, whatever its length and characters: what stands in quotes, else what has no blank or quote in it.
+Both may overlap; a value that is a run counts once, and the other values are numbered after the runs. Its features are its length,
 the transitions between kinds of characters, the share that frequent words of the corpus cover (counted over all
 documents), the path (the source column and what stands around a path in the text) and the neighbouring words. A random
 forest learns from labelled findings; where no labels are given, ``rule_labels`` labels those that are
@@ -33,7 +35,10 @@ BEFORE, AFTER = 64, 32
 
 _RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{%d,}+={0,2}"
 _NAMES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|private|credential)"
-_GIVEN = _NAMES + r"[A-Za-z0-9_.\-]*\s*[=:]+>?\s*[\"'`]?$"
+_GIVEN_TO = _NAMES + r"[A-Za-z0-9_.\-]*[\"'`]?\s*[=:]+>?\s*[\"'`]?"
+_GIVEN = _GIVEN_TO + "$"
+#: Looked at, not taken: a name within a value has a value as well.
+_VALUE = _GIVEN_TO + r"(?=((?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?<=`)[^`\r\n]+(?=`)|(?![=:>])[^\s\"'`]+(?<![,;)\]}]))((?s:.{0,%d})))"
 _EXAMPLE = r"(?i)(test|example|sample|fixture|mock|doc)"
 
 
@@ -44,27 +49,43 @@ def frequent_words(docs: DataFrame, n: int, text_col: str = "text") -> list[str]
     return [row.word for row in top.collect()]
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for each row, however often ``use`` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _found(pattern: str, least: int, candidate: int, after: int, own: bool) -> Column:
+    """(candidate, before, after) of every match, from the groups of the pattern. least: characters of the shortest match;
+    own: whether the match itself belongs to what stands before."""
+    # a match and what stands before it; so many of them hold the last characters before a place
+    n = -(-BEFORE // least)
+    every = lambda group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    read = F.struct(F.split("text", pattern).alias("pieces"), every(0).alias("matches"), every(candidate).alias("candidates"), every(after).alias("afters"))
+    heads = lambda r: F.zip_with(r.pieces, r.matches, lambda p, m: F.right(F.concat(p, m), F.lit(BEFORE)))
+
+    def before(r: Column, k: Column) -> Column:
+        count = k + 1 if own else k
+        last = F.array_join(F.slice(r.heads, F.greatest(count - n, F.lit(0)) + 1, F.least(count, F.lit(n))), "")
+        return F.right(last if own else F.concat(last, F.get(r.pieces, k)), F.lit(BEFORE))
+
+    def rows(r: Column) -> Column:
+        return F.transform(r.candidates, lambda c, k: F.struct(c.alias("candidate"), before(r, k).alias("before"), F.get(r.afters, k).alias("after")))
+
+    return _bound(read, lambda r: _bound(F.struct(r.pieces.alias("pieces"), r.candidates.alias("candidates"), r.afters.alias("afters"), heads(r).alias("heads")), rows))
+
+
 def candidates(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """(doc_id, path, finding, candidate, before, after): every candidate with its surroundings, numbered in each text."""
-    run = _RUN % min_chars
+    run, value = f"({_RUN % min_chars})(?=((?s:.{{0,{AFTER}}})))", _VALUE % AFTER
     path = F.lit("") if path_col is None else F.coalesce(F.col(path_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), path.alias("path"))
-    # what stands between the candidates is what their neighbours are cut from
-    around = F.transform(
-        F.split("text", run), lambda t: F.struct(F.right(t, F.lit(BEFORE)).alias("before"), F.left(t, F.lit(AFTER)).alias("after"))
-    )
-    found = (
-        narrow.where(F.col("text").rlike(run))
-        .select("doc_id", "path", F.regexp_extract_all("text", F.lit(run), F.lit(0)).alias("runs"), around.alias("around"))
-        .select(
-            "doc_id", "path",
-            F.posexplode(F.arrays_zip("runs", F.col("around.before").alias("before"), F.slice(F.col("around.after"), 2, 1 << 30).alias("after"))).alias("finding", "at"),
-        )
-    )
-    # the piece after the last candidate has none of its own
-    return found.where("at.runs is not null").select(
-        "doc_id", "path", "finding", F.col("at.runs").alias("candidate"), F.col("at.before").alias("before"), F.col("at.after").alias("after")
+    whole_run = r"^[A-Za-z0-9+/_\-]{%d,}={0,2}\z" % min_chars
+    # the shortest name has three characters, and one stands between it and its value
+    values = F.filter(_found(value, 4, 2, 3, True), lambda v: ~v.candidate.rlike(whole_run))
+    found = narrow.where(F.col("text").rlike(run) | F.col("text").rlike(value)).select(
+        "doc_id", "path", F.posexplode(F.concat(_found(run, min_chars, 1, 2, False), values)).alias("finding", "at")
     )
+    return found.select("doc_id", "path", "finding", "at.candidate", "at.before", "at.after")
 
 
 def features(dictionary: list[str]) -> dict[str, Column]:
@@ -95,7 +116,7 @@ def features(dictionary: list[str]) -> dict[str, Column]:
         "slashes": share("/"),
         "in_path": flag(before.rlike(r"(://\S*|[A-Za-z0-9]/|\.)$") | F.col("after").rlike(r"^(/|\.[A-Za-z])")),
         "example_path": flag(F.col("path").rlike(_EXAMPLE)),
-        "named": flag(last_words.rlike(_NAMES)),
+        "named": flag(last_words.rlike(_NAMES) | before.rlike(_GIVEN)),
         "given": flag(before.rlike(r"[=:]\s*[\"'`]?$")),
         "quoted": flag(before.rlike(r"[\"'`]$") & F.col("after").rlike(r"^[\"'`]")),
         "words_after": flag(F.col("after").rlike(r"^[\"'`]?\s+\p{L}")),
