@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tradesift.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, near_dedup, packing, secret_scan, substring_dedup, token_counts
+from tradesift.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, near_dedup, packing, periodic_runs
+from tradesift.llm import pii_anchors, secret_scan, source_divergence, substring_dedup, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_pii_anchors": pii_anchors.op11_pii_anchors,
+    "op12_source_divergence": source_divergence.op12_source_divergence,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 SQL = {
@@ -22,4 +26,7 @@ SQL = {
     "op3_decontamination": decontamination.OP3_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
+    "op11_pii_anchors": pii_anchors.OP11_SQL,
+    "op12_source_divergence": source_divergence.OP12_SQL,
+    "op13_periodic_runs": periodic_runs.OP13_SQL,
 }
