@@ -207,6 +207,19 @@ SQL = {
         + " UNION ALL "
         + card("1", "country", "0.8", "CASE WHEN buys_raw IS NULL THEN 1.0 ELSE 0.9 END"),
     ),
+    "x1_nested_cards": select(
+        LEADS_RAW,
+        f"""SELECT page_id, 0 AS card_no, CASE WHEN cut THEN 'card is cut off' END AS failure,
+        CASE WHEN NOT cut THEN {shown("raw_title")} END AS raw_title, CASE WHEN NOT cut THEN {shown("country")} END AS country,
+        CASE WHEN NOT cut AND {_RELATIVE} THEN raw_lead_age END AS raw_lead_age, CASE WHEN NOT cut THEN quantity_raw END AS quantity_raw,
+        CASE WHEN NOT cut THEN buys_raw END AS buys_raw
+        FROM (SELECT row_id AS page_id, raw_title, country, raw_lead_age, quantity_raw, buys_raw, number % 11 = 0 AS cut
+          FROM (SELECT *, split_part(row_id, '-', 1)::BIGINT AS number FROM leads_raw)
+          UNION SELECT row_id, raw_title, 'Canada', raw_lead_age, quantity_raw, buys_raw, number % 11 = 0
+          FROM (SELECT *, split_part(row_id, '-', 1)::BIGINT AS number FROM leads_raw) WHERE number % 5 = 0)
+        WHERE 0.25 * (raw_title IS NOT NULL)::INT + 0.2 * (country IS NOT NULL)::INT + 0.15 * (quantity_raw IS NOT NULL)::INT
+          + 0.15 * (buys_raw IS NOT NULL)::INT >= 0.5""",
+    ),
     "s2_page_scan": select(
         LEADS_RAW,
         "SELECT page_id, card_no, raw_title FROM ("

@@ -53,8 +53,8 @@ def _thousandths(value: Column) -> Column:
     return F.floor(value * 1000 + 0.5) / 1000
 
 
-def with_card_confidence(cards: DataFrame) -> DataFrame:
-    """Adds the confidence of the present signals and keeps accepted cards."""
+def with_card_confidence(cards: DataFrame, keep_failures: bool = False) -> DataFrame:
+    """Adds the confidence of the present signals and keeps accepted cards; those that failed only where they are asked for."""
     weights = sum(
         (
             F.when(F.array_contains("signals", name), F.lit(weight)).otherwise(0.0)
@@ -63,7 +63,10 @@ def with_card_confidence(cards: DataFrame) -> DataFrame:
         F.lit(0.0),
     )
     scored = cards.withColumn("card_confidence", _thousandths(weights))
-    return scored.filter(F.col("card_confidence") >= CARD_THRESHOLD)
+    accepted = F.col("card_confidence") >= CARD_THRESHOLD
+    if keep_failures or "failure" not in cards.columns:
+        return scored.filter(accepted)
+    return scored.filter(accepted & F.col("failure").isNull())
 
 
 def first_hit(hits: Column) -> Column:
@@ -363,7 +366,7 @@ def read_cards(cards: DataFrame) -> DataFrame:
         F.when((states["category"] == "failed") & ~crumbs, "categoryBreadcrumb"),
     ]
     read = cards.select(
-        *[name for name in ("page_id", "card_no", "failure", "titles", "buttons") if name in cards.columns],
+        *[name for name in ("page_id", "snapshot", "card_no", "failure", "titles", "buttons") if name in cards.columns],
         *[value.alias(name) for name, value in texts.items()],
         *[value.alias(f"state_{field}") for field, value in states.items()],
         F.coalesce("_title.confidence", F.lit(0.0)).alias("sure_title"),

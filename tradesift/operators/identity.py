@@ -19,15 +19,16 @@ from tradesift.operators.normalize import (
     prepare_texts,
     with_optional_columns,
 )
-from tradesift.operators.ordered import first_per_key, ordered_fold, with_previous
+from tradesift.operators.ordered import first_per_key, with_last_marked
+from tradesift.operators.resolution import resolve
+from tradesift.session import checkpointed
 
-# Separator, key order and conflict keys of the identity rules.
+# Separator and key order of the identity rules, and what stands for a card without identity.
 FIELD_SEPARATOR = chr(0x241F)
 INFO_KEYS = [
     "country", "quantity", "category", "productCategory", "buys", "strength", "dosageForm",
     "quantityPerStrip", "mobile", "whatsapp", "email", "requirements", "calls", "replies",
 ]
-CONFLICT_KEYS = ["quantity", "productCategory", "buys"]
 IDENTITY_COLUMNS = {
     "country": "country",
     "quantity": "quantity_raw",
@@ -38,6 +39,7 @@ IDENTITY_COLUMNS = {
     "quantityPerStrip": "quantity_per_strip_raw",
 }
 ORDER = ["detected_at", "row_id"]
+FAILURES = ("failed", "unidentified")
 
 
 def _identity(name: str) -> Column:
@@ -127,115 +129,46 @@ def with_signature(renderings: DataFrame, key: str = "canonical_key") -> DataFra
     )
 
 
-def changed_renderings(renderings: DataFrame, key: str = "canonical_key") -> DataFrame:
-    """Adds ``unchanged``: the card shows what it showed in its rendering before."""
-    rows = with_previous(
-        with_signature(renderings, key),
+def with_card_history(renderings: DataFrame, key: str = "canonical_key") -> DataFrame:
+    """Adds ``unchanged`` (the card shows what it showed before) and ``linked_event``/``linked_row_id``, the card's last
+    rendering that was identified and changed, if it has the same title key. ``event`` numbers the renderings.
+    """
+    rows = with_signature(renderings, key).withColumn("event", F.monotonically_increasing_id())
+    unchanged = F.coalesce(F.col("signature") == F.col("previous_signature"), F.lit(False))
+    rows = with_last_marked(
+        rows,
         ["session_id", "card_id"],
-        ORDER,
+        [*ORDER, "event"],
         {"previous_signature": "signature"},
+        ~unchanged & ~F.col("signature").isin(*FAILURES),
+        {"_title": "title_key", "_event": "event", "_row_id": "row_id"},
     )
-    return rows.withColumn(
-        "unchanged", F.coalesce(F.col("signature") == F.col("previous_signature"), F.lit(False))
-    )
+    linked = F.col("_title") == F.col("title_key")
+    added = {"unchanged": unchanged, "linked_event": F.when(linked, F.col("_event")), "linked_row_id": F.when(linked, F.col("_row_id"))}
+    return rows.withColumns(added).drop("_title", "_event", "_row_id", "previous_signature")
 
 
 def split_failures(renderings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(identified, failed) renderings; a later good rendering of the card is identified again."""
-    failed = F.col("signature").isin("failed", "unidentified")
+    failed = F.col("signature").isin(*FAILURES)
     return renderings.filter(~failed), renderings.filter(failed)
 
 
-def same_card_links(renderings: DataFrame) -> DataFrame:
-    """Adds ``previous_row_id`` when the card's last identified rendering has the same title key."""
-    rows = with_previous(
-        renderings,
-        ["session_id", "card_id"],
-        ORDER,
-        {"previous_title_key": "title_key", "previous_row_id": "row_id"},
-    )
-    linked = F.col("previous_title_key") == F.col("title_key")
-    return rows.withColumn("linked_row_id", F.when(linked, F.col("previous_row_id"))).drop(
-        "previous_title_key", "previous_row_id"
-    )
-
-
-class Registry:
-    """Leads of one session and title key, in the order they were first seen."""
-
-    def __init__(self):
-        self.leads: dict[str, dict] = {}
-        self.by_fingerprint: dict[str, str] = {}
-        self.by_identity: dict[str, dict[str, None]] = {}
-        self.by_card: dict[str, str] = {}
-
-    def __call__(self, row: dict) -> list[dict]:
-        shown = dict(row["info"])
-        outcome, lead_id, revealed = self.resolve(row, shown)
-        self.by_card[row["card_id"]] = lead_id
-        return [{**row, "lead_id": lead_id, "outcome": outcome, "revealed": revealed}]
-
-    def resolve(self, row: dict, shown: dict) -> tuple[str, str, list[str]]:
-        fingerprint = row["fingerprint"]
-        known = self.by_card.get(row["card_id"]) if row["linked_row_id"] is not None else None
-        known = known or self.by_fingerprint.get(fingerprint)
-        if known:
-            return self.merge(known, fingerprint, shown, replaces=True)
-        for lead_id in self.by_identity.get(row["cross_card_key"], ()):
-            info = self.leads[lead_id]
-            if all(info.get(key, shown.get(key)) == shown.get(key, info.get(key)) for key in CONFLICT_KEYS):
-                return self.merge(lead_id, fingerprint, shown, replaces=False)
-        lead_id = "lead_" + fingerprint[3:]
-        self.leads[lead_id] = shown
-        self.by_fingerprint[fingerprint] = lead_id
-        self.by_identity.setdefault(row["cross_card_key"], {})[lead_id] = None
-        return "new", lead_id, []
-
-    def merge(self, lead_id: str, fingerprint: str, shown: dict, replaces: bool):
-        info = self.leads[lead_id]
-        added = [key for key in shown if key not in info]
-        changed = [key for key in shown if key in info and info[key] != shown[key]]
-        revealed = added + changed if replaces else added
-        self.leads[lead_id] = {**info, **shown} if replaces else {**shown, **info}
-        self.by_fingerprint[fingerprint] = lead_id
-        return ("updated" if revealed else "duplicate"), lead_id, revealed
-
-
-RESOLVED = (
-    "session_id string, card_id string, row_id string, detected_at timestamp_ntz, title_key string, "
-    "fingerprint string, lead_id string, outcome string, revealed array<string>"
-)
-
-
 def resolve_leads(renderings: DataFrame) -> DataFrame:
-    """Lead id and outcome of every changed, identified rendering.
-
-    All ways of being the same lead need the same title key, so the replay is per session and
-    title key. Repeated renderings of a card are gone before the shuffle that feeds it.
-    """
-    columns = [
-        "session_id", "card_id", "row_id", "detected_at", "title_key", "fingerprint",
-        "cross_card_key", "info", "linked_row_id",
-    ]
-    return ordered_fold(
-        renderings.select(*columns), ["session_id", "title_key"], ORDER, Registry, RESOLVED
-    )
+    """Lead, outcome and revealed information of every changed, identified rendering, from its card history."""
+    columns = ["session_id", "card_id", "row_id", "detected_at", "event", "canonical_key", "cross_card_key", "info", "linked_event"]
+    return resolve(with_fingerprint(renderings.select(*columns)))
 
 
 def scan_outcomes(renderings: DataFrame) -> DataFrame:
-    """Outcome of every rendering: new, updated, duplicate, unchanged or failed."""
-    rows = changed_renderings(with_identity(renderings))
-    changed = rows.filter(~F.col("unchanged"))
-    identified, failed = split_failures(changed)
-    resolved = resolve_leads(with_fingerprint(same_card_links(identified)))
-    columns = ["session_id", "card_id", "row_id", "lead_id", "outcome"]
-    no_lead = F.lit(None).cast("string").alias("lead_id")
-    failures = failed.select(*columns[:3], no_lead, F.lit("failed").alias("outcome"))
-    repeated = rows.filter("unchanged").select(
-        *columns[:3],
-        no_lead,
-        F.when(F.col("signature").isin("failed", "unidentified"), "failed")
-        .otherwise("unchanged")
-        .alias("outcome"),
-    )
-    return resolved.select(*columns).unionByName(failures).unionByName(repeated)
+    """Outcome of every rendering: new, updated, duplicate, unchanged or failed, with the lead of the first three."""
+    narrow = with_identity(renderings).select(
+        "session_id", "card_id", "row_id", "detected_at", "title_key", "canonical_key", "cross_card_key", "info",
+        *[name for name in ("failed",) if name in renderings.columns],
+    )
+    rows = checkpointed(with_card_history(narrow))
+    identified, _ = split_failures(rows.filter(~F.col("unchanged")))
+    resolved = resolve_leads(identified).select("event", "lead_id", "outcome", "revealed")
+    seen = F.when(F.col("signature").isin(*FAILURES), "failed").otherwise("unchanged")
+    columns = ["session_id", "card_id", "row_id", "lead_id"]
+    return rows.join(resolved, "event", "left").select(*columns, F.coalesce("outcome", seen).alias("outcome"), "revealed")

@@ -67,6 +67,39 @@ def with_previous(rows: DataFrame, keys: list[str], order: list[str], values: di
     )
 
 
+def with_last_marked(
+    rows: DataFrame, keys: list[str], order: list[str], previous: dict[str, str], marked: Column, carried: dict[str, str]
+) -> DataFrame:
+    """Adds ``previous`` ({new: column of the row before}) and ``carried`` ({new: column of the last marked row before}).
+
+    ``marked`` may read the new columns of ``previous``. Both steps read the same ranges: the rows are ranged and kept
+    once, windows sort one range of a key, and two small tables carry values over the borders of ranges.
+    """
+    pack = lambda values: F.struct(*[F.col(source).alias(new) for new, source in values.items()])
+    place = [*keys, "_range"]
+    within, across = Window.partitionBy(*place).orderBy(*order), Window.partitionBy(*keys).orderBy("_range")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+
+    def over_borders(ranged: DataFrame, per_range: Column, before: Callable[[Column], Column]) -> DataFrame:
+        """Rows with ``_border``: what the ranges of the key before this one leave to it."""
+        ends = ranged.groupBy(*place).agg(per_range.alias("_end"))
+        ends = ends.select(*[F.col(name).alias(f"_p{name}") for name in place], before(F.col("_end")).alias("_border"))
+        same = [ranged[name].eqNullSafe(ends[f"_p{name}"]) for name in place]
+        return ranged.join(ends, same, "left").drop(*[f"_p{name}" for name in place])
+
+    ranged = in_ranges(rows.withColumn("_row", pack(previous)), keys, order)
+    ranged = over_borders(ranged, F.max_by("_row", F.struct(*order)), lambda end: F.lag(end).over(across))
+    first = F.row_number().over(within) == 1
+    seen = ranged.withColumn("_row", F.when(first, F.col("_border")).otherwise(F.lag("_row").over(within)))
+    seen = seen.select(*[c for c in seen.columns if c not in ("_row", "_border")], *[F.col(f"_row.{new}").alias(new) for new in previous])
+    seen = seen.withColumn("_mark", F.when(marked, pack(carried)))
+    last = lambda column: F.last(column, ignorenulls=True)
+    seen = over_borders(seen, F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.struct(*order))), lambda end: last(end).over(earlier))
+    before = F.coalesce(last(F.col("_mark")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_border"))
+    seen = seen.withColumn("_mark", before)
+    return seen.select(*rows.columns, *previous, *[F.col(f"_mark.{new}").alias(new) for new in carried])
+
+
 def with_number(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Adds a number from 1 per key. Each range counts on its own, from the total of the ones before."""
     ranged = in_ranges(rows, keys, order)

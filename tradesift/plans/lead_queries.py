@@ -496,7 +496,7 @@ def v5_new_scoring(spark, folder):
 
 def v6_scan_outcomes(spark, folder):
     rows = with_session(tables.leads_raw(spark, folder))
-    return identity.scan_outcomes(rows)
+    return identity.scan_outcomes(rows).drop("revealed")
 
 
 def v7_recent_results(spark, folder):
@@ -697,15 +697,19 @@ def d6_exact_duplicates(spark, folder):
     return identity.exact_duplicates(narrow).select("session_id", "row_id", "canonical_key")
 
 
-def d7_unchanged(spark, folder):
+def _card_history(spark, folder):
     rows = identity.with_identity(with_session(tables.leads_raw(spark, folder)))
-    return identity.changed_renderings(rows).select("row_id", "unchanged")
+    narrow = rows.select("session_id", "card_id", "row_id", "detected_at", "title_key", "canonical_key", "info")
+    return identity.with_card_history(narrow)
+
+
+def d7_unchanged(spark, folder):
+    return _card_history(spark, folder).select("row_id", "unchanged")
 
 
 def d8_same_card(spark, folder):
-    rows = identity.with_identity(with_session(tables.leads_raw(spark, folder)))
-    good, _ = identity.split_failures(identity.changed_renderings(rows).filter(~F.col("unchanged")))
-    return identity.same_card_links(good).select("row_id", "linked_row_id")
+    good, _ = identity.split_failures(_card_history(spark, folder).filter(~F.col("unchanged")))
+    return good.select("row_id", "linked_row_id")
 
 
 def d9_resolution(spark, folder):
@@ -715,8 +719,9 @@ def d9_resolution(spark, folder):
 
 
 def d10_merge(spark, folder):
-    outcomes = v6_scan_outcomes(spark, folder)
-    return outcomes.groupBy("session_id", "outcome").agg(F.count("*").alias("n"))
+    """What each resolved rendering revealed, and what became of it."""
+    outcomes = identity.scan_outcomes(with_session(tables.leads_raw(spark, folder))).filter("lead_id IS NOT NULL")
+    return outcomes.select("session_id", "row_id", "outcome", F.array_join("revealed", ",").alias("revealed"))
 
 
 def d12_failures(spark, folder):

@@ -318,6 +318,15 @@ def x1_extract_cards(spark, folder):
     )
 
 
+def x1_nested_cards(spark, folder):
+    """Cards of pages with deep nesting, several snapshots and copies; a card that breaks off is a failure row."""
+    found = pages.extract_cards(pages.nested_pages(tables.leads_raw(spark, folder)))
+    read = cards.read_cards(cards.with_card_confidence(found, keep_failures=True))
+    texts = ["raw_title", "country", "raw_lead_age", "quantity_raw", "buys_raw"]
+    whole = F.col("failure").isNull()
+    return read.select("page_id", "card_no", "failure", *[F.when(whole, F.col(name)).alias(name) for name in texts])
+
+
 def s2_page_scan(spark, folder):
     found = cards.with_card_confidence(pages.scan_pages(all_pages(spark, folder)))
     return cards.read_cards(found).select("page_id", "card_no", "raw_title")
