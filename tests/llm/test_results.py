@@ -274,7 +274,7 @@ def brute_lines(rows, edits, least):
 
 @pytest.mark.parametrize(("edits", "hot"), [(2, 32), (2, 1), (1, 2), (3, 32)])
 def test_lines_against_brute_force(spark, monkeypatch, edits, hot):
-    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "ARRAY", hot)
     draw = random.Random(edits)
     base = [words(100 + k, 5, "abcé🙂") for k in range(6)]
     rows = [(i, "\n".join(changed(draw.choice(base), draw, draw.randint(0, 4)) for _ in range(draw.randint(1, 5)))) for i in range(40)]

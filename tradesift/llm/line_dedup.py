@@ -6,9 +6,10 @@ earlier; what counts is a line's first occurrence by document id and line number
 Equal lines are one by two 64-bit hashes. A distinct line is cut into ``edits + 1`` even segments, of which one must
 survive ``edits`` edits; the index holds each segment by its text, its number and the line's length, and a line probes the
 lengths down to ``edits`` less at the few places where a segment can have moved. What meets is verified by
-edit distance in a band of ``2 * edits + 1`` diagonals, kept as bits of one integer. A key with more than
-``HOT`` lines gives no pairs: its lines are compared in arrays of bounded size, and only what
-verifies leaves the row.
+edit distance in a band of ``2 * edits + 1`` diagonals, kept as bits of one integer. A key that more than one line has
+gives no pairs: each line that meets it is one row, the key's lines are compared in arrays of bounded size, and only
+an existence leaves them: the first earlier line that is near, and later lines that only this row can find. One
+near line is enough to verify for each line that goes.
 
 Defined results: a null text stays null and has no lines; blank lines are lines; rows with equal ids are one document;
 lines of a
@@ -25,8 +26,8 @@ from tradesift.llm.common import read_table, saved
 
 EDITS = 2
 MIN_CHARS = 20
-#: Lines of one key that are paired freely, and lines of one array beyond that.
-HOT = 32
+#: Lines of one array of a key that more than one line has.
+ARRAY = 32
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -143,8 +144,8 @@ def _advanced(s: Column, letter: Column, *steps) -> Column:
 
 
 def candidate_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
-    """Lines that share a segment, with their texts: rows of two different lines a and b, and for each key with more than
-    ``HOT`` lines rows of one line (b is a), where ``own`` marks the key's indexed lines. firsts: doc_id, line_no."""
+    """Lines that share a segment, with their texts: rows of two different lines a and b, and for each key that several
+    lines have rows of one line (b is a), where ``own`` marks the key's indexed lines. firsts: doc_id, line_no."""
     places = firsts.groupBy("doc_id").agg(F.collect_set("line_no").alias("places"))
     # documents move by their id once; every join with them uses that exchange again
     distinct_lines = (
@@ -162,7 +163,7 @@ def candidate_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame
     index = (
         keys(index_keys)
         .select("key", F.col("doc_id").alias("y_id"), F.col("line_no").alias("y_no"), F.count(F.lit(1)).over(of_key).alias("n"))
-        .withColumn("hot", F.col("n") > HOT)
+        .withColumn("hot", F.col("n") > 1)
         # a hot key has one row here: its lines are found among the probes, where each line has its own segments
         .withColumn("first_of_key", F.row_number().over(of_key.orderBy("y_id", "y_no")))
         .where(~F.col("hot") | (F.col("first_of_key") == 1))
@@ -194,7 +195,7 @@ def near_earlier_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFr
     rows = saved(candidate_lines(docs, firsts, edits))
     cold = rows.where(F.col("key").isNull()).where(F.levenshtein("a_line", "b_line", edits) >= 0)
     hot = rows.where(F.col("key").isNotNull())
-    sizes = hot.where("own").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("blocks"))
+    sizes = hot.where("own").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ARRAY).alias("blocks"))
     arrays = (
         hot.where("own")
         .join(sizes, "key")
@@ -202,7 +203,11 @@ def near_earlier_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFr
         .agg(F.collect_list(F.struct("a", "a_line")).alias("lines"))
     )
     # the built-in banded distance is quick to refuse; what it lets through is verified by the band of bits
-    kept = F.filter("lines", lambda line: (line.a != F.col("b")) & (F.levenshtein(line.a_line, F.col("b_line"), edits) >= 0))
+    is_near = lambda line: F.levenshtein(line.a_line, F.col("b_line"), edits) >= 0
+    earlier = F.slice(F.filter("lines", lambda line: (line.a < F.col("b")) & is_near(line)), 1, 1)
+    # a longer line is not indexed under this key of a shorter one, so a later shorter line can be found from here alone
+    shorter = lambda line: F.length(line.a_line) < F.length("b_line")
+    later = F.filter("lines", lambda line: (line.a > F.col("b")) & shorter(line) & is_near(line))
     # a line meets each array of its key in another place, so a hot key is spread
     hot_pairs = (
         hot.select("key", "b", "b_line")
@@ -210,12 +215,13 @@ def near_earlier_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFr
         .join(sizes, "key")
         .select("key", "b", "b_line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         .join(arrays, ["key", "block"])
-        .select("b", "b_line", F.explode(kept).alias("y"))
+        .select("b", "b_line", F.explode(F.concat(earlier, later)).alias("y"))
         .select(F.col("y.a").alias("a"), "b", F.col("y.a_line").alias("a_line"), "b_line")
     )
     both = cold.select("a", "b", "a_line", "b_line").unionByName(hot_pairs)
-    verified = both.where(edit_distance_within(F.col("a_line"), F.col("b_line"), edits))
-    return verified.select(F.greatest("a", "b").alias("at")).select("at.doc_id", "at.line_no").distinct()
+    one_each = both.groupBy(F.greatest("a", "b").alias("at")).agg(F.min(F.struct("a_line", "b_line")).alias("pair"))
+    verified = one_each.where(edit_distance_within(F.col("pair.a_line"), F.col("pair.b_line"), edits))
+    return verified.select("at.doc_id", "at.line_no")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
