@@ -332,6 +332,18 @@ def test_substrings_against_brute_force(spark, monkeypatch, piece):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == brute_repeats(texts)
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    """Different texts of one id and of no id lose what occurs earlier, in the order of id and hash of the text."""
+    base = [words(230 + k, 90) for k in range(4)]
+    rows = [(1, base[0] + base[1]), (1, base[1] + base[2]), (2, base[2][:300] + base[0]), (None, base[3]), (None, base[3][50:] + base[0]), (None, None), (3, base[3] + "x")]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    wanted = brute_repeats(dict(enumerate(text for _, text in order)))
+    got = substring_dedup.remove_repeats(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str) == sorted(
+        ((order[k][0], *row) for k, row in wanted.items()), key=str
+    )
+
+
 def test_windows_of_large_groups_share_their_numbers(monkeypatch):
     draw = random.Random(4)
     pick = lambda n: [draw.choice([1, 1, 1, 2]) for _ in range(n)]

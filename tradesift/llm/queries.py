@@ -25,6 +25,7 @@ SQL = {
     "op2_embedding_dedup": embedding_dedup.OP2_SQL,
     "op3_decontamination": decontamination.OP3_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
     "op11_pii_anchors": pii_anchors.OP11_SQL,
     "op12_source_divergence": source_divergence.OP12_SQL,

@@ -14,7 +14,8 @@ a context takes some 25 symbols where it differs instead of 150 bytes.
 
 The work moves by hash ranges of anchors and by blocks of documents, as packed arrays; the documents are
 shuffled once. Equal contexts are combined before they are sent. Defined results: null texts are empty; rows
-with equal ids are copies of one document; a null id is before all others; other columns are never read.
+with equal ids and texts are copies of one document; different texts of one id are documents of their own, in the order of
+their SHA-256; rows without an id are before all others and count as having one id; other columns are never read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradesift.llm.common import mixed, read_table, text_bytes
+from tradesift.llm.common import mixed, read_table, shared_folder, text_bytes
+from tradesift.operators.ordered import with_number
 
 WINDOW = 100
 GRAM = 50
@@ -358,11 +360,27 @@ def removed_spans(text: bytes, places: np.ndarray, masks: np.ndarray) -> np.ndar
     return np.cumsum(change[:size]) > 0
 
 
+def _with_order(docs: DataFrame) -> DataFrame:
+    """Adds ``id``, by which texts are ordered: the document's id, a null one first.
+
+    Where one id has different texts (rows without an id count as having one), that is no order; then the distinct pairs of
+    id and hash of the text are numbered, over ranges of about the same number of them.
+    """
+    named = docs.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    hashed = named.select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"))
+    per_id = hashed.groupBy("id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"))
+    if per_id.where("least <> most").isEmpty():
+        return named
+    pairs = hashed.distinct().withColumn("all", F.lit(True))
+    shared_folder(docs.sparkSession)
+    numbers = with_number(pairs, ["all"], ["id", "text_hash"], "number").select("id", "text_hash", "number")
+    hashed_docs = named.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return hashed_docs.join(numbers, ["id", "text_hash"]).select("doc_id", "text", F.col("number").cast("long").alias("id"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every document; kept: the bytes that stay."""
-    narrow = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
-    )
+    narrow = _with_order(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     n_ranges = max(1, -(-size // RANGE_BYTES))
@@ -478,3 +496,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeats(read_table(spark, folder, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows by position: a window is a repeat when its bytes start earlier somewhere; runs are joined where they touch.
+OP8_SQL = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, {2 * WINDOW})) AS k FROM (
+  SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - {WINDOW - 1}))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {WINDOW} AS b FROM (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW} THEN 0 ELSE 1 END AS fresh FROM r))
+  GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last,
+  string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN k.kept IS NULL THEN h ELSE k.kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
