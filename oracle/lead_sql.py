@@ -225,6 +225,22 @@ SQL |= {
     "f16_profile_validation": """SELECT c_custkey, NOT (c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 7 = 0
         OR c_custkey % 17 = 0 OR c_custkey % 19 = 0 OR c_custkey % 23 = 0
         OR (c_custkey % 3 = 0 AND c_custkey % 50 > c_custkey % 40)) AS valid FROM customer""",
+    "f18_profile_table": select(
+        EVALUATE,
+        f"""SELECT row_id, k || '-a' AS profile_id, k % 7 <> 0 AS valid, CASE WHEN ok THEN 'MATCHED' ELSE 'REJECTED' END AS status,
+        CASE WHEN k % 7 = 0 THEN failed_groups ELSE concat_ws(',', CASE WHEN NOT country_ok THEN 'countries' END, CASE WHEN NOT words THEN 'keywords' END,
+          CASE WHEN NOT q THEN 'quantity' END, CASE WHEN NOT contact_ok THEN 'contact' END, CASE WHEN NOT negative_ok THEN 'negativeKeywords' END) END
+        AS failed_groups FROM (SELECT *, CASE WHEN k % 7 = 0 THEN passed WHEN NOT negative_ok THEN FALSE
+            WHEN k % 2 = 0 THEN country_ok AND words AND q AND contact_ok ELSE country_ok OR words OR q OR contact_ok END AS ok
+          FROM (SELECT *, split_part(card_id, '_', 2)::BIGINT AS k, coalesce(quantity_value >= k % 20 * 5, FALSE) AS q,
+            CASE k % 3 WHEN 0 THEN keyword_ok WHEN 1 THEN coalesce({hit_field("Large Bolt", WANTED_FIELDS)}, {hit_field("red gizmos", WANTED_FIELDS)}) IS NOT NULL
+              ELSE k0 IS NOT NULL AND k4 IS NOT NULL END AS words FROM evaluated))
+        UNION ALL
+        SELECT row_id, k || '-b', TRUE, CASE WHEN k % 5 = 0 OR (c AND q AND t) THEN 'MATCHED' ELSE 'REJECTED' END,
+          CASE WHEN k % 5 = 0 THEN '' ELSE concat_ws(',', CASE WHEN NOT c THEN 'countries' END, CASE WHEN NOT q THEN 'quantity' END, CASE WHEN NOT t THEN 'contact' END) END
+        FROM (SELECT *, split_part(card_id, '_', 2)::BIGINT AS k, coalesce(country_code = 'CA' OR country_key = 'atlantis', FALSE) AS c,
+          coalesce(quantity_value >= 10, FALSE) AS q, mobile_available AND whatsapp_available AS t FROM evaluated)""",
+    ),
     "f18_profile_grid": select(
         EVALUATE,
         """SELECT 'p' || lpad(CAST(p AS STRING), 2, '0') AS profile_id, CASE WHEN negative_ok AND
@@ -358,7 +374,53 @@ _HASHED = f"""(SELECT canonical_key, h1, {_MIX("h2", "h1")} AS h2 FROM (SELECT c
     SELECT canonical_key, {_ROUND(3735928559, 2654435761)} AS h1, {_ROUND(1103547991, 1597334677)} AS h2
     FROM (SELECT DISTINCT canonical_key FROM leads WHERE canonical_key IS NOT NULL))))"""
 _FINGERPRINT = "'fp_' || lpad(lower(to_hex((h2 % 2097152) * 4294967296 + h1)), 14, '0')"
+# the registry of one session and title, one rendering a step: its leads, and who owns an identity or a card
+_INFO_PAIRS = """list_filter([('country', i_country), ('quantity', i_quantity), ('category', i_category), ('productCategory', i_product),
+    ('buys', i_buys), ('strength', i_strength), ('dosageForm', i_form), ('mobile', CASE WHEN mobile_available THEN 'yes' END),
+    ('whatsapp', CASE WHEN whatsapp_available THEN 'yes' END), ('email', CASE WHEN email_available THEN 'yes' END)], lambda x: x[2] IS NOT NULL)"""
+_REGISTRY = f"""shown_events AS (
+  SELECT *, {_I["country"]} AS i_country, {_I["quantity_raw"]} AS i_quantity, {_I["category"]} AS i_category, {_I["product_category"]} AS i_product,
+    nullif({_BUYS}, '') AS i_buys, {_I["strength_raw"]} AS i_strength, {_I["dosage_form"]} AS i_form,
+    coalesce(lag(title_key) OVER (PARTITION BY session_id, card_id ORDER BY detected_at, row_id) = title_key, FALSE) AS linked
+  FROM shown_before WHERE canonical_key IS NOT NULL AND signature IS DISTINCT FROM before),
+steps AS MATERIALIZED (
+  SELECT session_id, title_key, card_id, row_id, canonical_key AS fp, cross_card_key AS ck, linked, {_INFO_PAIRS} AS pairs,
+    map_from_entries({_INFO_PAIRS}) AS shown, row_number() OVER (PARTITION BY session_id, title_key ORDER BY detected_at, row_id) AS n
+  FROM shown_events),
+replayed AS (
+  SELECT session_id, title_key, 0::BIGINT AS n, ''::VARCHAR AS row_id, ''::VARCHAR AS lead, ''::VARCHAR AS outcome, ''::VARCHAR AS revealed,
+    []::STRUCT(id VARCHAR, ck VARCHAR, info MAP(VARCHAR, VARCHAR))[] AS leads, MAP([], [])::MAP(VARCHAR, VARCHAR) AS owners, MAP([], [])::MAP(VARCHAR, VARCHAR) AS cards
+  FROM steps WHERE n = 1
+  UNION ALL
+  SELECT session_id, title_key, n, row_id, lead, CASE WHEN fresh THEN 'new' WHEN len(news) > 0 THEN 'updated' ELSE 'duplicate' END,
+    CASE WHEN fresh THEN '' ELSE array_to_string(news, ',') END,
+    CASE WHEN fresh THEN list_append(leads, struct_pack(id := lead, ck := ck, info := shown))
+      ELSE list_transform(leads, lambda l: CASE WHEN l.id <> lead THEN l WHEN known IS NULL
+        THEN struct_pack(id := l.id, ck := l.ck, info := map_concat(shown, l.info)) ELSE struct_pack(id := l.id, ck := l.ck, info := map_concat(l.info, shown)) END) END,
+    map_concat(owners, MAP([fp], [lead])), map_concat(cards, MAP([card_id], [lead]))
+  FROM (SELECT *, coalesce(known, fits, fp) AS lead, known IS NULL AND fits IS NULL AS fresh,
+      list_concat(list_filter(list_transform(pairs, lambda x: x[1]), lambda k: NOT map_contains(had, k)),
+        CASE WHEN known IS NULL THEN [] ELSE list_transform(list_filter(pairs, lambda x: map_contains(had, x[1]) AND had[x[1]] <> x[2]), lambda x: x[1]) END) AS news
+    FROM (SELECT *, coalesce(list_filter(leads, lambda l: l.id = coalesce(known, fits))[1].info, MAP([], [])::MAP(VARCHAR, VARCHAR)) AS had
+      FROM (SELECT r.session_id, r.title_key, s.n, s.row_id, s.card_id, s.fp, s.ck, s.pairs, s.shown, r.leads, r.owners, r.cards,
+          CASE WHEN s.linked THEN r.cards[s.card_id] ELSE r.owners[s.fp] END AS known,
+          list_filter(r.leads, lambda l: l.ck = s.ck AND coalesce(l.info['quantity'] = s.shown['quantity'], TRUE)
+            AND coalesce(l.info['productCategory'] = s.shown['productCategory'], TRUE) AND coalesce(l.info['buys'] = s.shown['buys'], TRUE))[1].id AS fits
+        FROM replayed r JOIN steps s ON s.session_id = r.session_id AND s.title_key = r.title_key AND s.n = r.n + 1)))),
+resolved AS (SELECT session_id, row_id, lead, outcome, revealed FROM replayed WHERE n > 0),
+fingerprints AS (SELECT canonical_key, 'lead_' || right({_FINGERPRINT}, 14) AS lead_id FROM {_HASHED})"""
+_RESOLVE = "RECURSIVE " + ",\n".join([NAMED, _REGISTRY])
 SQL |= {
+    "v6_scan_outcomes": select(
+        _RESOLVE,
+        """SELECT l.session_id, l.card_id, l.row_id, f.lead_id, coalesce(r.outcome, CASE WHEN l.canonical_key IS NULL THEN 'failed' ELSE 'unchanged' END)
+        AS outcome FROM leads l LEFT JOIN resolved r ON r.session_id = l.session_id AND r.row_id = l.row_id
+        LEFT JOIN fingerprints f ON f.canonical_key = r.lead""",
+    ),
+    "d9_resolution": select(
+        _RESOLVE, "SELECT session_id, row_id, lead_id FROM resolved r JOIN fingerprints f ON f.canonical_key = r.lead"
+    ),
+    "d10_merge": select(_RESOLVE, "SELECT session_id, row_id, outcome, revealed FROM resolved"),
     "d1_canonical_key": select(NAMED, "SELECT row_id, canonical_key FROM leads"),
     "d2_fingerprint": select(NAMED, f"SELECT canonical_key, {_FINGERPRINT} AS fingerprint FROM {_HASHED}"),
     "d3_lead_id": select(

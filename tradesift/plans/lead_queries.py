@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tradesift.operators import (
     identity,
     logs,
     normalize,
+    profile_table,
     scoring,
     statistics,
     verdicts,
@@ -345,6 +348,42 @@ def f18_profile_grid(spark, folder):
     return pairs.groupBy("profile_id", "status").agg(F.count("*").alias("n"))
 
 
+def seller_profiles(spark, folder) -> DataFrame:
+    """Two profiles of each supplier as JSON; every seventh supplier's first one has an unknown version."""
+    k = F.col("s_suppkey")
+    terms = lambda *values: json.dumps([{"value": value, "enabled": True} for value in values])
+    words = (
+        F.when(k % 3 == 0, terms("Medicine", "Tablet", "Capsule", "Injection", "Pharmaceutical"))
+        .when(k % 3 == 1, terms("Large Bolt", "red gizmos"))
+        .otherwise(terms("Medicine", "Pharmaceutical"))
+    )
+    document = (
+        '{"version":%s,"enabled":%s,"countries":{"enabled":true,"mode":"ANY","values":%s},"keywords":{"enabled":true,"mode":"%s","values":%s,'
+        '"fields":["title","productCategory","category","buyerProducts"]},"negativeKeywords":{"enabled":true,"values":%s,'
+        '"fields":["title","productCategory","category"]},"quantity":{"enabled":true,"min":%s,"max":null},"contact":{"enabled":true,'
+        '"mode":"%s","mobile":true,"whatsapp":true,"email":%s},"leadAge":{"enabled":false,"minMinutes":null,"maxMinutes":null},"logic":{"mode":"%s"}}'
+    )
+    first = F.format_string(
+        document, F.when(k % 7 == 0, "9").otherwise("1"), F.lit("true"), F.lit(terms("Canada", "USA", "GB", "Australia", "New Zealand")),
+        F.when(k % 3 == 2, "ALL").otherwise("ANY"), words, F.lit(terms("Retail", "Personal Use", "Home Use")),
+        (k % 20 * 5).cast("string"), F.lit("ANY"), F.lit("true"), F.when(k % 2 == 0, "AND").otherwise("OR"),
+    )
+    second = F.format_string(
+        document, F.lit("1"), F.when(k % 5 == 0, "false").otherwise("true"), F.lit(terms("Canada", "Atlantis")), F.lit("ANY"), F.lit(terms()),
+        F.lit(terms()), F.lit("10"), F.lit("ALL"), F.lit("false"), F.lit("AND"),
+    )
+    both = F.explode(F.array(F.struct(F.lit("a").alias("no"), first.alias("profile")), F.struct(F.lit("b").alias("no"), second.alias("profile"))))
+    rows = tables.read_table(spark, folder, "supplier").select(k.alias("seller_id"), both.alias("x"))
+    return rows.select(F.concat_ws("-", "seller_id", "x.no").alias("profile_id"), "seller_id", "x.profile")
+
+
+def f18_profile_table(spark, folder):
+    """Every lead against the profiles of its seller, from a table."""
+    leads = normalized(spark, folder).withColumn("seller_id", F.split_part("card_id", F.lit("_"), F.lit(2)).cast("long"))
+    pairs = profile_table.evaluate_profile_table(leads, seller_profiles(spark, folder), ["row_id"])
+    return pairs.select("row_id", "profile_id", "valid", "status", F.array_join("failed_groups", ",").alias("failed_groups"))
+
+
 EVALUATION = [
     "passed", "reasons", "matched_keywords", "matched_countries", "negative_keywords",
     "failed_groups", "logic", "config_version", "status",
