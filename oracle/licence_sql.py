@@ -81,7 +81,18 @@ def card(number: str, country: str, age_sure: str, buys_sure: str) -> str:
       {buys_sure}::DOUBLE AS sure_buys FROM leads_raw WHERE {weight} >= 0.5"""
 
 
+_LIMITED = f"""hits AS (SELECT CAST(user_id AS STRING) AS key, epoch_us(ts) // 1000 AS at_ms, count(*) AS hits FROM events GROUP BY ALL),
+starts AS (SELECT key, min(at_ms) AS at_ms FROM hits GROUP BY key
+  UNION ALL SELECT key, at_ms FROM (SELECT s.key, (SELECT min(h.at_ms) FROM hits h WHERE h.key = s.key AND h.at_ms >= s.at_ms + 21600000) AS at_ms FROM starts s)
+  WHERE at_ms IS NOT NULL),
+placed AS (SELECT h.*, s.at_ms AS start FROM hits h ASOF JOIN starts s ON h.key = s.key AND h.at_ms >= s.at_ms),
+used AS (SELECT *, coalesce(sum(hits) OVER (PARTITION BY key, start ORDER BY at_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM placed),
+limited AS (SELECT key, at_ms, hits, least(hits, greatest(0, 2 - used))::BIGINT AS allowed, (hits - least(hits, greatest(0, 2 - used)))::BIGINT AS refused FROM used)"""
+
+
 SQL = {
+    "b21_request_limit": f"WITH RECURSIVE {_LIMITED} SELECT * FROM limited",
+    "b21_stream_request_limit": f"WITH RECURSIVE {_LIMITED} SELECT key, sum(allowed)::BIGINT AS allowed FROM limited GROUP BY key",
     "b1_effective_status": licence("SELECT id, effective_status FROM licences"),
     "b2_status_message": licence(f"SELECT id, {message('effective_status')} AS message FROM licences"),
     "b3_licence_rows": licence(

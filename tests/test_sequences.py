@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tradesift.functions.hashing import _hash_texts, hmac_sha256
-from tradesift.operators import cards, identity, ordered, replay
+from tradesift.operators import cards, identity, ordered, replay, request_limits
 from tradesift.sources import pages
 from tradesift.streaming import jobs
 
@@ -95,7 +95,7 @@ def test_licence_life(spark):
 def test_request_window_against_brute_force(spark):
     random.seed(2)
     hits = [("k", random.randrange(2000)) for _ in range(300)]
-    got = replay.limit_requests(spark.createDataFrame(hits, "key string, at_ms long"), 3, 100).collect()
+    got = request_limits.limit_requests(spark.createDataFrame(hits, "key string, at_ms long"), 3, 100).collect()
     allowed, ends, count = {}, None, 0
     for _, at in sorted(hits):
         if ends is None or ends <= at:

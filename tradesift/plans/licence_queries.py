@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradesift.functions import parsing as P
 from tradesift.functions import text as X
-from tradesift.operators import actions, cards, licences, normalize, replay
+from tradesift.operators import actions, cards, licences, normalize, replay, request_limits
 from tradesift.plans import lead_queries, profiles
 from tradesift.sources import pages, tables
 
@@ -235,7 +235,7 @@ def b21_request_limit(spark, folder):
     requests = tables.read_table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("key"), _millis("ts").alias("at_ms")
     )
-    return replay.limit_requests(requests, limit=2, length_ms=6 * 3_600_000)
+    return request_limits.limit_requests(requests, limit=2, length_ms=6 * 3_600_000)
 
 
 def b23_push_messages(spark, folder):
