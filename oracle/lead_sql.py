@@ -648,3 +648,22 @@ SQL |= {
         ON v.lead_id = k.lead_id""",
     ),
 }
+
+_COUNTED = {
+    "verdict": "SELECT CASE WHEN passed THEN 'matched' ELSE 'rejected' END AS name, 1 AS a FROM current_rows",
+    "pass_reason": " UNION ALL ".join(
+        [f"SELECT '{name}' AS name, 1 AS a FROM current_rows WHERE passed AND {ok}" for name, ok in _PASSES.items()]
+        + [f"SELECT 'KEYWORD_MATCH', 1 FROM current_rows WHERE passed AND k{n} IS NOT NULL" for n in range(5)]
+    ),
+    "failed_group": "SELECT unnest(string_split(failed_groups, ',')) AS name, 1 AS a FROM current_rows WHERE NOT passed",
+    "priority": "SELECT priority AS name, 1 AS a FROM current_rows",
+    "warning": f"SELECT unnest(string_split({WARNINGS}, '; ')) AS name, 1 AS a FROM current_rows",
+    "score": "SELECT 'sum' AS name, score AS a FROM current_rows UNION ALL SELECT 'n', 1 FROM current_rows WHERE score IS NOT NULL",
+    "scan": "SELECT 'detected' AS name, 1 AS a FROM current_rows UNION ALL SELECT 'processed', 1 FROM known",
+}
+SQL["g14_running_totals"] = select(
+    ",\n".join([VERDICTS, f"current_rows AS (SELECT * FROM known {_LATEST})"]),
+    "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{counter}' AS counter, name, sum(a)::DOUBLE AS amount FROM ({rows}) GROUP BY name" for counter, rows in _COUNTED.items())
+    + ") WHERE amount <> 0 AND name <> ''",
+)
