@@ -667,3 +667,16 @@ SQL["g14_running_totals"] = select(
     + " UNION ALL ".join(f"SELECT '{counter}' AS counter, name, sum(a)::DOUBLE AS amount FROM ({rows}) GROUP BY name" for counter, rows in _COUNTED.items())
     + ") WHERE amount <> 0 AND name <> ''",
 )
+
+_FAILED = """failed AS (SELECT *, CASE WHEN number % 23 = 0 THEN 'payload: missing' WHEN number % 13 = 0 OR number % 19 = 0 THEN 'payload: not a lead'
+  WHEN number % 17 = 0 THEN 'quantity: not a finite number' END AS error FROM (SELECT *, split_part(row_id, '-', 1)::BIGINT AS number FROM normalized))"""
+_STEP = "CASE WHEN error LIKE 'payload%' THEN 'read' WHEN error IS NOT NULL THEN 'normalize' END AS failed_step"
+SQL["n16_error_isolation"] = select(
+    ",\n".join([NORMALIZE, _FAILED]),
+    f"""SELECT row_id, {_STEP}, error, CASE WHEN error IS NOT NULL THEN number % 23 <> 0 END AS has_payload,
+    CASE WHEN error IS NULL THEN title_normalized END AS title_normalized, CASE WHEN error IS NULL THEN quantity_value END AS quantity_value,
+    CASE WHEN error IS NULL THEN country_code END AS country_code FROM failed""",
+)
+SQL["n16_failure_counts"] = select(
+    ",\n".join([NORMALIZE, _FAILED]), f"SELECT {_STEP}, error, count(*) AS n FROM failed WHERE error IS NOT NULL GROUP BY ALL"
+)

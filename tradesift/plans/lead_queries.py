@@ -13,6 +13,7 @@ from tradesift.operators import (
     cards,
     filtering,
     identity,
+    isolation,
     logs,
     normalize,
     profile_table,
@@ -480,6 +481,26 @@ def c15_scoring_error(spark, folder):
     return kept.groupBy("priority").agg(F.count("*").alias("n"))
 
 
+def captured_payloads(spark, folder) -> DataFrame:
+    """Lead rows as the JSON text of a capture: some break off, some have another type, some an amount beyond all numbers."""
+    leads = tables.leads_raw(spark, folder)
+    order = F.split_part("row_id", F.lit("-"), F.lit(1)).cast("long")
+    huge = F.when(order % 17 == 0, F.concat(F.repeat(F.lit("9"), 400), F.lit(" Strip"))).otherwise(F.col("quantity_raw"))
+    text = F.to_json(F.struct(*[c for c in leads.columns if c not in ("row_id", "card_id", "detected_at", "quantity_raw")], huge.alias("quantity_raw")))
+    broken = F.when(order % 13 == 0, F.substring(text, 1, 40)).when(order % 19 == 0, F.regexp_replace(text, '"mobile_available":(true|false)', '"mobile_available":"perhaps"'))
+    return leads.select("row_id", F.when(order % 23 != 0, F.coalesce(broken, text)).alias("payload"))
+
+
+def n16_error_isolation(spark, folder):
+    rows = isolation.normalize_payloads(captured_payloads(spark, folder))
+    kept = F.when(F.col("failed_step").isNotNull(), F.coalesce(F.length("payload"), F.lit(0)) > 0)
+    return rows.select("row_id", "failed_step", "error", kept.alias("has_payload"), "title_normalized", "quantity_value", "country_code")
+
+
+def n16_failure_counts(spark, folder):
+    return isolation.failure_counts(isolation.normalize_payloads(captured_payloads(spark, folder)))
+
+
 # --- verdict state ---
 
 
