@@ -680,3 +680,29 @@ SQL["n16_error_isolation"] = select(
 SQL["n16_failure_counts"] = select(
     ",\n".join([NORMALIZE, _FAILED]), f"SELECT {_STEP}, error, count(*) AS n FROM failed WHERE error IS NOT NULL GROUP BY ALL"
 )
+
+_REASON_LIST = """list_filter(CASE WHEN passed THEN [country_reason] || string_split(keyword_reasons, '; ') || [quantity_reason, contact_reason]
+    ELSE [CASE WHEN NOT country_ok THEN country_reason END, CASE WHEN NOT keyword_ok THEN 'No keyword matched' END,
+      CASE WHEN NOT quantity_ok THEN quantity_reason END, CASE WHEN NOT contact_ok THEN contact_reason END]
+      || CASE WHEN negative_ok THEN [] ELSE string_split(negative_reasons, '; ') END END, lambda x: x IS NOT NULL)"""
+_LABEL = f"coalesce({shown('raw_title')}, {shown('product_category')}, 'Untitled lead')"
+_FACTS = "concat_ws(', ', 'Country: ' || nullif(country, ''), 'Quantity: ' || nullif(quantity_raw, ''))"
+_CHANNELS = """concat_ws(', ', CASE WHEN mobile_available THEN 'Mobile' END, CASE WHEN whatsapp_available THEN 'WhatsApp' END,
+    CASE WHEN email_available THEN 'Email' END)"""
+_SCORE_TEXT = f"""'Score ' || CAST(score AS STRING) || '/100 (' || priority || '): ' || array_to_string(list_transform(list_sort(
+    list_filter([{_EARNED}], lambda x: x.p < 0)), lambda x: x.t), ', ')"""
+SQL["l1_processed_lines"] = select(
+    ",\n".join([SCORE, EXTRACTED.replace("FROM normalized)", "FROM scored)")]),
+    f"""SELECT line.level, line.message, count(*) AS n FROM (SELECT unnest(list_filter([
+      struct_pack(level := 'SUCCESS', message := 'Lead detected: ' || CASE WHEN length(label) > 70 THEN left(label, 69) || '…' ELSE label END),
+      struct_pack(level := 'INFO', message := nullif(facts, '')),
+      struct_pack(level := 'INFO', message := CASE WHEN channels = '' THEN 'No contact channels listed' ELSE channels || ' available' END)]
+    || list_transform(failures, lambda f: struct_pack(level := 'WARN', message := 'Extraction failed: ' || f))
+    || [CASE WHEN len(failures) = 0 THEN struct_pack(level := 'SUCCESS', message := 'Lead processed')
+        ELSE struct_pack(level := 'WARN', message := 'Lead processed with ' || len(failures) || ' warning' || CASE WHEN len(failures) > 1 THEN 's' ELSE '' END) END,
+      struct_pack(level := CASE WHEN passed THEN 'SUCCESS' ELSE 'INFO' END, message := 'Filter ' || CASE WHEN passed THEN 'matched' ELSE 'rejected' END || ': ' ||
+        array_to_string(list_slice(reasons, 1, 4), '; ') || CASE WHEN len(reasons) > 4 THEN '; +' || (len(reasons) - 4) || ' more' ELSE '' END),
+      struct_pack(level := 'SUCCESS', message := CASE WHEN passed THEN scored_as END)], lambda x: x.message IS NOT NULL)) AS line
+    FROM (SELECT *, {_LABEL} AS label, {_FACTS} AS facts, {_CHANNELS} AS channels, {_REASON_LIST} AS reasons, {_SCORE_TEXT} AS scored_as,
+      list_filter(string_split(warnings, '; '), lambda w: w <> '') AS failures FROM extracted)) GROUP BY ALL""",
+)
