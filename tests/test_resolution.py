@@ -12,7 +12,8 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from oracle import lead_sql
-from tradesift.operators import identity
+from tradesift import session
+from tradesift.operators import identity, ordered
 
 SCHEMA = (
     "session_id string, card_id string, row_id string, detected_at timestamp_ntz, raw_title string, country string, quantity_raw string, "
@@ -54,3 +55,22 @@ def test_rounds_equal_the_replay(spark, seed, n, cards, titles, rare):
 
 def test_no_renderings(spark):
     assert identity.scan_outcomes(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_keys_too_large_for_one_sort(spark, monkeypatch):
+    """Keys that are cut into ranges give what the replay gives, as those do that are sorted at once."""
+    monkeypatch.setattr(ordered, "LARGE_KEY", 8)
+    rows = crowded(2, 24, 1, 2, 0.9)
+    got = identity.scan_outcomes(spark.createDataFrame(rows, SCHEMA)).where("lead_id IS NOT NULL").collect()
+    assert sorted((r.row_id, r.lead_id, r.outcome, ",".join(r.revealed)) for r in got) == replayed(rows)
+
+
+def test_card_history_carries_only_what_is_asked_for(spark, monkeypatch):
+    """Rows that are ordered are kept without the texts of identity, and once while no key is large."""
+    stored = []
+    monkeypatch.setattr(ordered, "kept", lambda rows: stored.append(rows.columns) or session.kept(rows))
+    rows = spark.createDataFrame(crowded(3, 20, 2, 2, 0.5), SCHEMA)
+    found = identity.with_card_history(identity.with_identity(rows), keep=["row_id"])
+    assert {"canonical_key", "info", "title_key", "raw_title"}.isdisjoint(found.columns)
+    assert len(stored) == 1 and {"canonical_key", "info", "title_key", "raw_title"}.isdisjoint(stored[0])
+    assert found.count() == 20
