@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tradesift.operators import filtering, isolation, profile_table, request_limits
 from tradesift.operators.normalize import normalize_leads
 from tradesift.plans.profiles import DEFAULT_FILTER
-from tradesift.streaming import counters
+from tradesift.streaming import counters, jobs
 
 LEAD = (
     "row_id string, seller_id long, raw_title string, country string, quantity_raw string, raw_lead_age string, category string, "
@@ -110,3 +110,24 @@ def test_request_windows_of_awkward_keys(spark):
             wanted[key, at] = (allowed + (used <= 2), refused + (used > 2))
     assert {(r.key, r.at_ms): (r.allowed, r.refused) for r in got} == wanted
     assert request_limits.limit_requests(spark.createDataFrame([], "key string, at_ms long"), 2, 100).collect() == []
+
+
+def test_arriving_pages_keep_their_partitions(spark, tmp_path):
+    """Every partition writes a file of its own, and the files are dealt to the wanted number of batches."""
+    rows = spark.range(100).repartition(10)
+    assert jobs.write_arriving(rows, str(tmp_path / "in"), batches=3) == 4
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    assert len(stored.inputFiles()) == 10 and stored.count() == 100
+    assert jobs.write_arriving(rows.where("id < 0"), str(tmp_path / "none")) == 1
+
+
+def test_profiles_do_not_travel_with_pairs(spark):
+    """What joins the keyword hits has neither the profile nor the lines of the lead."""
+    leads = normalize_leads(spark.createDataFrame([lead("a", 1, "Red boxes of medicine")], LEAD))
+    texts = spark.createDataFrame([("p1", 1, json.dumps(DEFAULT_FILTER))], "profile_id string, seller_id long, profile string")
+    node = profile_table.evaluate_profile_table(leads, texts, ["row_id"])._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join" or "profile_id" not in node.condition().toString():
+        node = node.children().apply(0)
+    output = node.children().apply(0).output()
+    names = {output.apply(k).name() for k in range(output.size())}
+    assert "profile_id" in names and names.isdisjoint({"p", "countries", "_words_title", "country_normalized"})
