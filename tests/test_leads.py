@@ -104,3 +104,32 @@ def test_late_filter_keeps_one_computation(spark):
     rows = normalize.normalize_leads(spark.createDataFrame([lead()], LEAD))
     plan = filtering.evaluate_filter(rows, DEFAULT_FILTER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_score_needs_no_reasons(spark):
+    """Score and priority read verdicts; the texts of reasons are made only where they are asked for."""
+    rows = normalize.normalize_leads(spark.createDataFrame([lead()], LEAD))
+    got = scoring.score_leads(filtering.evaluate_filter(rows, DEFAULT_FILTER), DEFAULT_SCORING).select("row_id", "score", "priority")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "COUNTRY_MISMATCH" not in plan and "regexp_extract(_words" not in plan
+
+
+def test_texts_go_to_python_together(spark):
+    rows = normalize.normalize_leads(spark.createDataFrame([lead()], LEAD))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and plan.split("ArrowEvalPython [")[1].split("]")[0].count("_nfkc") <= 2
+
+
+def test_lists_and_word_lines_of_any_text(spark):
+    texts = [None, "", " , ", "a,b", "  a  b ,, c\t", ",x", "x , ", "Ünit  A, b", "café , ", "a|b,!!,c-d"]
+    lists = {
+        None: [], "": [], " , ": [], "a,b": ["a", "b"], "  a  b ,, c\t": ["a b", "c"], ",x": ["x"], "x , ": ["x"],
+        "Ünit  A, b": ["Ünit A", "b"], "café , ": ["café"], "a|b,!!,c-d": ["a|b", "!!", "c-d"],
+    }
+    rows = spark.createDataFrame([(text,) for text in texts], "buys_raw string")
+    rows = normalize.with_buyer_products(normalize.with_optional_columns(rows))
+    rows = rows.withColumns({name: F.lit(None).cast("string") for name in ("title_normalized", "product_category_text", "category_text")})
+    got = filtering.add_word_lines(rows).collect()
+    assert {r.buys_raw: r.buyer_products for r in got} == lists
+    lines = {r.buys_raw: r._words_buyer_products for r in got}
+    assert lines["a|b,!!,c-d"] == " a b |  | c d " and lines["Ünit  A, b"] == " ünit a | b " and lines[""] == ""
