@@ -95,6 +95,22 @@ def test_counters_over_three_batches(spark, tmp_path):
     assert got == wanted
 
 
+def test_counters_share_states(spark, tmp_path):
+    """Many leads, few states: a later evaluation takes back the earlier one, also within a batch and without a time."""
+    at, schema = dt.datetime(2026, 1, 1), "lead_id string, detected_at timestamp_ntz, row_id string, amounts string"
+    amounts = [json.dumps([{"counter": "verdict", "name": name, "amount": 1.0}]) for name in ("matched", "rejected")]
+    first = [(f"l{k}", at, "a", amounts[0]) for k in range(500)] + [("l1", at, "b", amounts[1]), (None, at, "a", amounts[0]), ("untimed", None, "a", amounts[0])]
+    second = [(f"l{k}", at - dt.timedelta(1), "c", amounts[1]) for k in range(2, 100)] + [("l3", at, "d", amounts[1]), ("untimed", at, "a", amounts[1]), ("untimed", None, "z", amounts[0])]
+    for part in (first, second):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = counters.running_totals(stream, f"{tmp_path}/out", f"counters-{uuid.uuid4().hex}", buckets=8)
+    query.awaitTermination()
+    got = {(r.counter, r.name): r.amount for r in counters.totals(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    assert got == {("verdict", "matched"): 499, ("verdict", "rejected"): 3, ("scan", "detected"): 502, ("scan", "processed"): 604}
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 8
+
+
 def test_request_windows_of_awkward_keys(spark):
     draw = random.Random(6)
     hits = [("hot", draw.randrange(3000)) for _ in range(200)] + [(None, 5), (None, 6), (None, 500), ("one", 7)] + [("same", 9)] * 5

@@ -1,7 +1,8 @@
 """Running counters of all statistics, kept as changes.
 
 What the current evaluation of a lead adds to each counter is a list of amounts. The state of a lead is its newest evaluation's
-list and place in order; a newer evaluation takes the old list back and adds its own, an older one changes nothing. Each batch
+list and place in order; a newer evaluation takes the old list back and adds its own, an older one changes nothing. Leads are
+kept in buckets by hash, one state each, because a call for every lead costs far more than its work. Each batch
 appends the sums of its changes, a repeated batch replaces its own file, and no earlier row is ever read or written again;
 the counters are the sums of all changes.
 """
@@ -9,6 +10,9 @@ the counters are the sums of all changes.
 from __future__ import annotations
 
 import json
+import pickle
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +24,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tradesift.streaming.jobs import run_available, write_batch
 
 CHANGES = "counter string, name string, amount double"
+#: States that all leads share. A batch writes the states anew that its leads are in, so their number should grow with the leads;
+#: it can't be changed for a stream that has a checkpoint.
+BUCKETS = 4096
+_FIRST = -(1 << 63)  # an evaluation without a time is older than all others
 
 
 def _each(counter: str, names: Column) -> Column:
@@ -55,37 +63,51 @@ def contributions(evaluations: DataFrame) -> Column:
     return F.concat(*parts)
 
 
-def changes(evaluations: DataFrame) -> DataFrame:
+def changes(evaluations: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """A stream of (counter, name, amount) from a stream of (lead_id, detected_at, row_id, amounts as JSON text)."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, row, old = state.get if state.exists else (None, None, None)
-        newest, seen = None if at is None else (at, row, old), 0
+        newest = pickle.loads(zlib.decompress(state.get[0])) if state.exists else {}
+        texts = {amounts: amounts for _, _, amounts in newest.values()}  # equal texts are stored once
+        seen, detected, times = 0, 0, Counter()
         for batch in batches:
             seen += len(batch)
-            for rendering in zip(batch["at_us"], batch["row_id"], batch["amounts"], strict=True):
-                if newest is None or rendering[:2] > newest[:2]:
-                    newest = (int(rendering[0]), rendering[1], rendering[2])
-        out = [("scan", "processed", float(seen))] + [("scan", "detected", 1.0)] * (at is None)
-        if newest[:2] != (at, row):
-            out += [(a["counter"], a["name"], a["amount"]) for a in json.loads(newest[2])]
-            out += [(a["counter"], a["name"], -a["amount"]) for a in json.loads(old or "[]")]
-            state.update(newest)
-        yield pd.DataFrame(out, columns=["counter", "name", "amount"])
-
-    narrow = evaluations.select("lead_id", F.unix_micros(F.col("detected_at").cast("timestamp")).alias("at_us"), "row_id", "amounts")
-    grouped = narrow.groupBy("lead_id")
-    return grouped.applyInPandasWithState(step, CHANGES, "at long, row string, amounts string", "append", GroupStateTimeout.NoTimeout)
-
-
-def running_totals(evaluations: DataFrame, folder: str, name: str) -> StreamingQuery:
+            for lead, at, row, amounts in zip(batch["lead_id"], batch["at_us"], batch["row_id"], batch["amounts"], strict=True):
+                old = newest.get(lead)
+                if old is None:
+                    detected += 1
+                elif (at, row) <= old[:2]:
+                    continue
+                else:
+                    times[old[2]] -= 1
+                amounts = texts.setdefault(amounts, amounts)
+                times[amounts] += 1
+                newest[lead] = (at, row, amounts)
+        sums = defaultdict(float, {("scan", "processed"): float(seen), ("scan", "detected"): float(detected)})
+        for amounts, n in times.items():
+            for a in json.loads(amounts) if n else ():
+                sums[a["counter"], a["name"]] += n * a["amount"]
+        if times:
+            state.update((zlib.compress(pickle.dumps(newest), 1),))
+        yield pd.DataFrame([(*name, amount) for name, amount in sums.items()], columns=["counter", "name", "amount"])
+
+    at = F.unix_micros(F.col("detected_at").cast("timestamp"))
+    narrow = evaluations.select(
+        F.pmod(F.xxhash64("lead_id"), F.lit(buckets)).alias("bucket"), "lead_id", F.coalesce(at, F.lit(_FIRST)).alias("at_us"),
+        F.coalesce("row_id", F.lit("")).alias("row_id"), "amounts",
+    )
+    grouped = narrow.groupBy("bucket")
+    return grouped.applyInPandasWithState(step, CHANGES, "newest binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def running_totals(evaluations: DataFrame, folder: str, name: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Appends the summed changes of every batch below ``folder``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         summed = batch.groupBy("counter", "name").agg(F.sum("amount").alias("amount"))
         write_batch(summed.where("amount <> 0"), batch_id, folder)
 
-    return run_available(changes(evaluations), handle, name)
+    return run_available(changes(evaluations, buckets), handle, name)
 
 
 def totals(rows: DataFrame) -> DataFrame:
