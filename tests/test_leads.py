@@ -136,3 +136,14 @@ def test_lists_and_word_lines_of_any_text(spark):
     assert {r.buys_raw: [composed(item) for item in r.buyer_products] for r in got} == lists
     lines = {r.buys_raw: r._words_buyer_products for r in got}
     assert lines["a|b,!!,c-d"] == " a b |  | c d " and lines[""] == ""
+
+
+def test_ascii_rows_are_empty_lists_for_python(spark):
+    """Null lists made the work of a batch grow with the square of its rows."""
+    rows = spark.createDataFrame([("a", "b"), ("ﬁ", "b"), (None, "Ａ"), (None, None), ("", None)], "s string, t string")
+    texts, given = {"x": F.col("s"), "y": F.col("t")}, []
+    X._together(texts, lambda lists: given.append(lists) or lists)
+    assert [r[0] for r in rows.select(given[0]).collect()] == [[], ["ﬁ", "b"], [None, "Ａ"], [], []]
+    assert [tuple(r) for r in rows.select(*X.nfkc_together(texts).values()).collect()] == [("a", "b"), ("fi", "b"), (None, "A"), (None, None), ("", None)]
+    plain = rows.select(*X.nfkc_without_accents_together(texts).values()).collect()
+    assert [tuple(r) for r in plain] == [("a", "b"), ("fi", "b"), (None, "A"), (None, None), ("", None)]
