@@ -8,6 +8,7 @@ import sys
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -74,3 +75,29 @@ def test_card_history_carries_only_what_is_asked_for(spark, monkeypatch):
     assert {"canonical_key", "info", "title_key", "raw_title"}.isdisjoint(found.columns)
     assert len(stored) == 1 and {"canonical_key", "info", "title_key", "raw_title"}.isdisjoint(stored[0])
     assert found.count() == 20
+
+
+def test_groups_of_sessions_leave_nothing_behind(spark, monkeypatch, tmp_path):
+    """Sessions resolved in several groups give what the replay of each gives, and only the results stay on disk."""
+    monkeypatch.setattr(identity, "GROUP_ROWS", 13)
+    kept_in = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(f"s{at}", *row[1:2], f"{at}{row[2]}", *row[3:]) for at, seed in enumerate((5, 6)) for row in crowded(seed, 12, 3, 2, 0.9)]
+    got = identity.scan_outcomes(spark.createDataFrame([*rows, (None, *rows[0][1:])], SCHEMA))
+    results = {name.split("/")[-2] for name in got.inputFiles()}
+    left = {path.name for path in tmp_path.rglob("kept-*")}
+    got = got.where("lead_id IS NOT NULL AND session_id IS NOT NULL").collect()
+    if kept_in:
+        spark.sparkContext._jsc.sc().setCheckpointDir(kept_in.rsplit("/", 1)[0])
+    assert left == results and len(results) > 1
+    assert sorted((r.row_id, r.lead_id, r.outcome, ",".join(r.revealed)) for r in got) == replayed(rows)
+
+
+def test_shuffle_files_go_when_rows_are_kept(spark):
+    """The shuffles of kept rows are dropped with the write, and the setting is as before."""
+    spark.conf.unset(session._CLEANUP)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    rows = session.kept(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.max("id").alias("m")))
+    assert tracker.shuffleStatuses().size() <= before and spark.conf.get(session._CLEANUP) == "false"
+    assert rows.count() == 10
