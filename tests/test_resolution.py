@@ -101,3 +101,12 @@ def test_shuffle_files_go_when_rows_are_kept(spark):
     rows = session.kept(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.max("id").alias("m")))
     assert tracker.shuffleStatuses().size() <= before and spark.conf.get(session._CLEANUP) == "false"
     assert rows.count() == 10
+
+
+def test_failures_need_no_hash(spark):
+    """Rows without identity are told by their title, so the hash is not made for the others."""
+    rows = spark.createDataFrame(crowded(3, 20, 2, 2, 0.5), SCHEMA)
+    _, failed = identity.split_failures(identity.with_signature(identity.with_identity(rows)))
+    assert {r.signature for r in failed.collect()} == {"unidentified"}
+    filters = [line for line in failed._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line]
+    assert filters and not any("sha2" in line for line in filters)

@@ -117,15 +117,15 @@ def exact_duplicates(renderings: DataFrame, key: str = "canonical_key") -> DataF
 
 
 def with_signature(renderings: DataFrame, key: str = "canonical_key") -> DataFrame:
-    """What a card shows: identity and information, or a failure marker."""
+    """What a card shows: identity and information, or a failure marker; ``has_failed`` says so without the hash."""
     content = F.concat_ws(
         FIELD_SEPARATOR, F.col(key), F.to_json("info", {"ignoreNullFields": "true"})
     )
     failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in renderings.columns else F.lit(False)
-    return renderings.withColumn(
-        "signature",
-        F.when(failed, "failed").when(F.col(key).isNull(), "unidentified").otherwise(F.sha2(content, 256)),
-    )
+    # text that is no identity at all is told by what it is made of
+    nameless = F.col("title_key").isNull() if key == "canonical_key" and "title_key" in renderings.columns else F.col(key).isNull()
+    signature = F.when(failed, "failed").when(nameless, "unidentified").otherwise(F.sha2(content, 256))
+    return renderings.withColumns({"signature": signature, "has_failed": failed | nameless})
 
 
 def with_card_history(renderings: DataFrame, key: str = "canonical_key", keep: list[str] | None = None) -> DataFrame:
@@ -160,7 +160,7 @@ def _with_links(rows: DataFrame, failed: Column, stored: bool = False) -> DataFr
 
 def split_failures(renderings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(identified, failed) renderings; a later good rendering of the card is identified again."""
-    failed = F.col("signature").isin(*FAILURES)
+    failed = F.col("has_failed") if "has_failed" in renderings.columns else F.col("signature").isin(*FAILURES)
     return renderings.filter(~failed), renderings.filter(failed)
 
 
@@ -194,7 +194,7 @@ def scan_outcomes(renderings: DataFrame) -> DataFrame:
     """
     spark = renderings.sparkSession
     shown = with_signature(with_identity(renderings)).select(
-        "session_id", "card_id", *ORDER, "title_key", "canonical_key", "cross_card_key", F.col("signature").isin(*FAILURES).alias("failed"),
+        "session_id", "card_id", *ORDER, "title_key", "canonical_key", "cross_card_key", F.col("has_failed").alias("failed"),
         F.unhex(F.md5("signature")).alias("signature"), *[F.col("info").getItem(name).alias(f"v_{name}") for name in INFO_KEYS],
         F.monotonically_increasing_id().alias("event"),
     )
