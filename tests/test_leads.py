@@ -147,3 +147,16 @@ def test_ascii_rows_are_empty_lists_for_python(spark):
     assert [tuple(r) for r in rows.select(*X.nfkc_together(texts).values()).collect()] == [("a", "b"), ("fi", "b"), (None, "A"), (None, None), ("", None)]
     plain = rows.select(*X.nfkc_without_accents_together(texts).values()).collect()
     assert [tuple(r) for r in plain] == [("a", "b"), ("fi", "b"), (None, "A"), (None, None), ("", None)]
+
+
+def test_ascii_text_is_cleaned_like_any_other(spark):
+    """Every kind of blank in every place, alone and doubled, as in text that has a letter beyond ASCII."""
+    blanks = [" ", "  ", "\t", "\n", "\x0b", "\f", "\r", "\r\n", " \t"]
+    texts = ["", "a", "a b", *blanks, *[f"{x}a" for x in blanks], *[f"a{x}" for x in blanks], *[f"a{x}b" for x in blanks]]
+    rows = spark.createDataFrame([(text,) for text in texts] + [(None,)], "t string")
+    got = rows.select("t", X.display_text(F.col("t")).alias("shown"), X.collapse_spaces(F.col("t")).alias("collapsed")).collect()
+    for row in got:
+        wanted = " ".join(row.t.split()) or None if row.t is not None else None
+        assert (row.shown, row.collapsed) == (wanted, wanted)
+    plan = rows.select(X.display_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper()
