@@ -4,6 +4,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from tradesift.functions import parsing as P
 from tradesift.functions import text as X
 from tradesift.operators import filtering, normalize, scoring
 from tradesift.plans.profiles import DEFAULT_FILTER, DEFAULT_SCORING, word_forms
@@ -160,3 +161,13 @@ def test_ascii_text_is_cleaned_like_any_other(spark):
         assert (row.shown, row.collapsed) == (wanted, wanted)
     plan = rows.select(X.display_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan.upper()
+
+
+def test_texts_without_a_number_are_not_cast(spark):
+    """An empty number never reaches the cast, which would raise an error inside for every such text."""
+    texts = ["5 Strip", "1,000.5 Box", "about five", "", "10-20 Strips", "7", None]
+    rows = P.add_measure(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "m")
+    got = {r.t: r.m_value for r in rows.collect()}
+    assert got == {"5 Strip": 5, "1,000.5 Box": 1000.5, "about five": None, "": None, "10-20 Strips": None, "7": 7, None: None}
+    casts = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if " as double" in line]
+    assert casts and all("cast(CASE WHEN" in line for line in casts)
