@@ -147,3 +147,13 @@ def test_profiles_do_not_travel_with_pairs(spark):
     output = node.children().apply(0).output()
     names = {output.apply(k).name() for k in range(output.size())}
     assert "profile_id" in names and names.isdisjoint({"p", "countries", "_words_title", "country_normalized"})
+
+
+def test_profiles_do_not_pass_the_driver(spark):
+    """No join with what grows with the profiles is a broadcast, however small they look."""
+    leads = normalize_leads(spark.createDataFrame([lead("a", 1, "Red boxes of medicine")], LEAD))
+    texts = spark.createDataFrame([("p1", 1, json.dumps(DEFAULT_FILTER))], "profile_id string, seller_id long, profile string")
+    plan = profile_table.evaluate_profile_table(leads, texts, ["row_id"])._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.split("\n") if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert not [line for line in sent if "seller_id" in line or "profile_id" in line]
+    assert plan.count("SortMergeJoin") >= 3
